@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.llm.mixing import op8_source_mixing, op8_sql
+from lexispark.llm.quality import op5_quality_rules, op5_sql
 from lexispark.llm.simhash import op7_simhash_near_dedup
+from lexispark.llm.substrings import op3_sql, op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": op3_sql(),
+    "op5_quality_rules": op5_sql(),
+    "op8_source_mixing": op8_sql(),
+}
