@@ -11,6 +11,7 @@ and of the last token before it leaves the two apart.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 from collections.abc import Iterable
 
@@ -158,8 +159,12 @@ class WordBpe:
         for name, i in self.specials.items():
             known[name] = np.array([i], "<u4").tobytes()
         missing = {w for p in parts for w in p if w not in known}
-        for w, tokens in self.encode_words(missing).items():
-            known[w] = np.array(tokens, "<u4").tobytes()
+        gc.disable()  # a trie's many nodes are no garbage: the collector would only walk them again and again
+        try:
+            for w, tokens in self.encode_words(missing).items():
+                known[w] = np.array(tokens, "<u4").tobytes()
+        finally:
+            gc.enable()
         return [b"".join([known[w] for w in p]) for p in parts]
 
     def decode(self, ids: bytes) -> str:

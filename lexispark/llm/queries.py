@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.llm.bpe import op10_bpe_encode_decode
 from lexispark.llm.mixing import op8_source_mixing, op8_sql
 from lexispark.llm.quality import op5_quality_rules, op5_sql
 from lexispark.llm.simhash import op7_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
 
 ORACLE_SQL: dict[str, str] = {

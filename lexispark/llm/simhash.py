@@ -42,17 +42,17 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp bigint) of every row."""
+    """(id_col, th bigint, fp bigint) of every row; th is a hash of the text itself."""
     import pyarrow as pa
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x) for _, part in pieces(batch, 1) for x in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = [fingerprint(x) for _, part in pieces(batch, 2) for x in part]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=[id_col, "th", "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, th bigint, fp bigint")
 
 
 def _tile_links(radius: int):
@@ -114,8 +114,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, fp and component_id, the smallest id reachable over links of
-    at most radius differing bits.
+    """One row per document: id_col, th, fp, component (a fingerprint that names the class) and
+    component_id, the smallest id reachable over links of at most radius differing bits.
 
     Null and empty texts have the fingerprint zero and link like others. Rows with equal ids stay
     separate rows. A null id is never a component_id; a class of null ids alone has a null one.
@@ -125,7 +125,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     parts = connected_components(fingerprint_links(classes))
     known = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     roots = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(known.join(roots, "component").select("fp", "component_id"), "fp")
+    return fps.join(known.join(roots, "component").select("fp", "component", "component_id"), "fp")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each class the row with its smallest id stays (a null id only
+    where all are null; among equal ids the smallest text hash, and one of identical rows)."""
+    found = near_duplicates(docs, radius, id_col, text_col)
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("x"))
+    first = first.select(F.coalesce(F.col("x.id").cast("string"), F.lit("")).alias("_name"), F.col("x.th").alias("_th")).distinct()
+    rows = docs.withColumns({"_name": named, "_th": F.xxhash64(text_col)})
+    return rows.join(first, ["_name", "_th"], "left_semi").dropDuplicates(["_name", "_th"]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
