@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm.bpe import op10_bpe_encode_decode
+from lexispark.llm.forest import op4_embedding_near_dedup, op4_sql
+from lexispark.llm.langid import op1_language_id
 from lexispark.llm.mixing import op8_source_mixing, op8_sql
 from lexispark.llm.quality import op5_quality_rules, op5_sql
 from lexispark.llm.simhash import op7_simhash_near_dedup
 from lexispark.llm.substrings import op3_sql, op3_substring_dedup
+from lexispark.llm.urls import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
@@ -22,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": op3_sql(),
+    "op4_embedding_near_dedup": op4_sql(),
     "op5_quality_rules": op5_sql(),
     "op8_source_mixing": op8_sql(),
 }
