@@ -1 +1 @@
-"""Semantic analytics on Spark DataFrames."""
+"""Semantic analytics on Spark DataFrames: start with lexispark.session.Session."""
