@@ -206,7 +206,7 @@ def answers_joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as features, joined to other tables by id."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", session(spark).llm_complete({"model_name": "digest"}, _ask("text")).alias("digest"))
     labels = _table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").select("doc_id", "digest", "quality", "toxic")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "digest", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +373,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "audio_answers": "select page_id, md5(case when url is null then '' else 'transcript of ' || url end) as answer from pages",
     "audio_embedding": f"select page_id, round({_BYTE.format(m='m', i=1, j=2)}, 9) as first from (select page_id, md5(case when url is null then 'None' else 'transcript of ' || url end || ' ') as m from pages)",
-    "answers_joined_back": "select doc_id, md5(coalesce(text, 'NULL')) as digest, quality, toxic from documents left join labels using (doc_id)",
+    "answers_joined_back": "select doc_id, md5(coalesce(text, 'NULL')) as digest, coalesce(quality, -1) as quality, coalesce(toxic, -1) as toxic from documents left join labels using (doc_id)",
     "sql_functions": "select doc_id, md5(text) as digest from documents where lang = 'en' and contains(text, ' the ')",
     "llm_reduce": "select lang, count(*) as n, min(md5(coalesce(text, 'NULL'))) as least, count(*)::varchar as counted from documents group by lang",
     "llm_reduce_spread": "select lang, max(coalesce(source, 'NULL')) as greatest from documents group by lang",
