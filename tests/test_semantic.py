@@ -1,0 +1,347 @@
+import hashlib
+import json
+import subprocess
+import sys
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexispark.operators.batching import TokenOverflow, UsageExceeded
+from lexispark.operators.service import RateLimiter, UsageMeter
+from lexispark.plans.spec import SpecError
+from lexispark.session import Session
+from lexispark.sources import media
+from lexispark.sources.providers import Request, make_provider
+from lexispark.sources.providers import http as H
+
+MD5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+
+@pytest.fixture()
+def session(spark):
+    s = Session(spark, rate_window=1.0)
+    s.sql("CREATE MODEL('m', 'rules', 'offline')")
+    yield s
+    s.close()
+
+
+def model(**settings):
+    parameters = settings.pop("parameters", {})
+    return {"model_name": "m", "model_parameters": parameters} | settings
+
+
+def ask(*columns, **more):
+    return {"prompt": "Answer", "context_columns": [{"data": c} for c in columns]} | more
+
+
+def rows(spark, n, parts=1):
+    return spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("t")).coalesce(parts)
+
+
+def test_complete(spark, session):
+    frame = spark.createDataFrame([(1, "a", [1, 2]), (2, None, None)], "id int, t string, xs array<int>")
+    got = frame.select("id", session.llm_complete(model(), ask("t", F.col("id") + 1)).alias("x")).orderBy("id").collect()
+    assert [r["x"] for r in got] == [MD5("a|2"), MD5("NULL|3")]
+    none = frame.select(session.llm_complete(model(parameters={"rule": "null"}), ask("t")).alias("x")).collect()
+    assert [r["x"] for r in none] == ["null", "null"]
+    both = frame.select(session.llm_complete(model(parameters={"rule": "object"}), ask("t")).alias("x")).first()["x"]
+    assert both == json.dumps({"digest": MD5("a"), "length": 1}, separators=(",", ":"))
+
+
+def test_requests_are_batched(spark, session):
+    rows(spark, 100).select(session.llm_complete(model(), ask("t")).alias("x")).collect()
+    rows(spark, 17).select(session.llm_filter(model(is_async=False), ask("t")).alias("x")).collect()
+    rows(spark, 17).select(session.llm_embedding(model(), {"context_columns": [{"data": "t"}]}).alias("x")).collect()
+    got = session.metrics()
+    assert {k: v["api_calls"] for k, v in got.items()} == {"llm_complete_1": 7, "llm_filter_1": 2, "llm_embedding_1": 2}
+
+
+def test_one_call_a_row_whatever_the_plan(spark, session):
+    frame = rows(spark, 200, 2).where("id < 1000")
+    asked = frame.withColumn("f", session.llm_filter(model(max_batch_size=1), ask("t")))
+    asked.where("f").select("f", "id").collect()
+    assert sum(v["api_calls"] for v in session.metrics().values()) == 200
+    session.llm_reset_metrics()
+    session.semantic_filter(frame, model(max_batch_size=1), ask("t"), F.col("id") < 30).collect()
+    assert sum(v["api_calls"] for v in session.metrics().values()) == 30
+    session.llm_reset_metrics()
+    frame.withColumn("unused", session.llm_complete(model(), ask("t"))).select("id").collect()
+    assert session.metrics() == {}
+
+
+def test_filter(spark, session):
+    got = rows(spark, 40).where(session.llm_filter(model(), ask("t"))).collect()
+    assert {r["id"] for r in got} == {i for i in range(40) if MD5(f"t{i}")[0] < "8"}
+    assert rows(spark, 5).where(session.llm_filter(model(parameters={"rule": "null"}), ask("t"))).count() == 5
+
+
+def test_overflow_short_and_failing(spark, session):
+    for is_async in (True, False):
+        got = rows(spark, 40).select("id", session.llm_complete(model(is_async=is_async, parameters={"overflow_above": 3, "rule": "echo"}), ask("t")).alias("x")).collect()
+        assert [r["x"] for r in got] == [f"t{r['id']}" for r in got]
+    short = rows(spark, 4).select(session.llm_complete(model(parameters={"short_by": 1, "rule": "echo"}), ask("t")).alias("x")).collect()
+    assert [r["x"] for r in short] == ["t0", "t1", "t2", "null"]
+    with pytest.raises(Exception, match="broken"):
+        rows(spark, 4).select(session.llm_complete(model(parameters={"fail": "broken"}), ask("t"))).collect()
+
+
+def test_usage_limit(spark, session):
+    limit = {"usage_limit": {"total_tokens_limit": 100}, "parameters": {"tokens": [25, 25], "rule": "echo"}, "max_batch_size": 1}
+    got = rows(spark, 3).select(session.llm_complete(model(is_async=False, **limit), ask("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["t0", "t1", "null"]
+    session.sql("CREATE MODEL('n', 'rules', 'offline')")
+    other = model(**limit) | {"model_name": "n"}
+    got = rows(spark, 3).select(session.llm_complete(other, ask("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["t0", "t1", "t2"]  # all were in flight
+    with pytest.raises(UsageExceeded):
+        session.llm_complete(other, {"prompt": "x"})
+
+
+def test_rate_limit(spark, session):
+    began = time.monotonic()
+    rows(spark, 5).select(session.llm_complete(model(is_async=False, max_batch_size=1, rate_limit=2), ask("t"))).collect()
+    assert 2.0 <= time.monotonic() - began
+    clock = [0.0]
+    limiter = RateLimiter(60, lambda: clock[0])
+    assert [limiter.wait("a", 2) for _ in range(3)] == [0, 0, 60] and limiter.wait("b", 2) == 0
+    clock[0] = 61.0
+    assert limiter.wait("a", 2) == 0
+
+
+def test_usage_meter():
+    meter = UsageMeter()
+    meter.add("m", 50, 10)
+    assert meter.exceeded("m", {"prompt_tokens_limit": 51, "total_tokens_limit": 60}) == "total_tokens_limit"
+    assert meter.exceeded("m", {"completion_tokens_limit": 11}) is None and meter.exceeded("n", {"total_tokens_limit": 1}) is None
+
+
+def test_metrics(spark, session):
+    assert session.llm_get_metrics() == "{}"
+    for _ in range(2):
+        rows(spark, 3).select(session.llm_complete(model(parameters={"tokens": [5, 2]}), ask("t"))).collect()
+    got = json.loads(session.llm_get_metrics())
+    assert list(got) == ["llm_complete_1", "llm_complete_2"] and got["llm_complete_1"]["total_tokens"] == 7 and got["llm_complete_1"]["execution_time_ms"] > 0
+    debug = json.loads(session.llm_get_debug_metrics())
+    assert debug["thread_count"] == len(debug["threads"]) == 2
+    assert session.metrics_df().count() == 2
+    assert session.llm_reset_metrics() == "Metrics reset successfully" and session.metrics() == {}
+
+
+def test_limit_keeps_counts(spark, session):
+    rows(spark, 100, 1).select(session.llm_complete(model(), ask("t"))).limit(5).collect()
+    assert sum(v["api_calls"] for v in session.metrics().values()) >= 1
+
+
+def test_embedding(spark, session):
+    got = spark.createDataFrame([("a", "b")], "a string, b string").select(session.llm_embedding(model(), {"context_columns": [{"data": "a"}, {"data": "b"}]})).first()[0]
+    assert got == [x / 255 for x in hashlib.md5(b"a b ").digest()[:8]]
+    for wrong in ({}, {"prompt": "x", "context_columns": [{"data": "a"}]}, {"context_columns": []}, {"context_columns": [{"data": "a", "type": "image"}]}):
+        with pytest.raises(SpecError):
+            session.llm_embedding(model(), wrong)
+
+
+def test_images_reach_the_provider(spark, session):
+    prompt = {"prompt": "Describe", "context_columns": [{"data": "t", "name": "t"}, {"data": F.concat(F.lit("http://x/"), "t"), "type": "image/png", "detail": "high"}]}
+    got = rows(spark, 3).select("t", session.llm_complete(model(), prompt).alias("x")).collect()
+    assert [r["x"] for r in got] == [MD5(r["t"]) for r in got]
+
+
+def grouped(session, frame, function, settings, **more):
+    return frame.groupBy("g").agg(getattr(session, function)(settings, ask("t"), "id", **more).alias("x"), F.count("*").alias("n"))
+
+
+def test_aggregates(spark, session):
+    frame = rows(spark, 50, 3).withColumn("g", F.when(F.col("id") == 49, 9).otherwise(F.col("id") % 2))
+    texts = {g: [f"t{i}" for i in range(49) if i % 2 == g] for g in (0, 1)} | {9: ["t49"]}
+    for function, pick in (("llm_first", min), ("llm_last", max)):
+        got = {r["g"]: r["x"] for r in grouped(session, frame, function, model()).collect()}
+        assert got == {g: json.dumps([{"data": [pick(ts, key=MD5)]}], separators=(",", ":")) for g, ts in texts.items()}
+    got = {r["g"]: json.loads(r["x"])[0]["data"] for r in grouped(session, frame, "llm_rerank", model(max_batch_size=40)).collect()}
+    assert got == {g: sorted(ts, key=MD5) for g, ts in texts.items()}
+    small = {r["g"]: json.loads(r["x"])[0]["data"] for r in grouped(session, frame, "llm_rerank", model(max_batch_size=4), order="window").collect()}
+    assert {g: sorted(x) for g, x in small.items()} == {g: sorted(ts) for g, ts in texts.items()}
+    got = {r["g"]: r["x"] for r in grouped(session, frame, "llm_reduce", model(parameters={"rule": "sorted_concat"})).collect()}
+    assert got == {g: ",".join(sorted(ts)) for g, ts in texts.items()}
+
+
+def test_aggregate_calls(spark, session):
+    one = rows(spark, 1).withColumn("g", F.lit(1))
+    for function, calls in (("llm_first", 0), ("llm_rerank", 0), ("llm_reduce", 1)):
+        session.llm_reset_metrics()
+        grouped(session, one, function, model()).collect()
+        assert sum(v["api_calls"] for v in session.metrics().values()) == calls
+    session.llm_reset_metrics()
+    grouped(session, rows(spark, 17).withColumn("g", F.lit(1)), "llm_rerank", model()).collect()
+    assert sum(v["api_calls"] for v in session.metrics().values()) == 2
+
+
+def test_aggregate_edges(spark, session):
+    empty = rows(spark, 3).where("id > 5").agg(session.llm_rerank(model(), ask("t")).alias("x"), F.count("*").alias("n")).first()
+    assert (empty["x"], empty["n"]) == (None, 0)
+    frame = rows(spark, 30).withColumn("g", F.lit(1))
+    got = grouped(session, frame, "llm_reduce", model(parameters={"rule": "count", "overflow_above": 5})).first()["x"]
+    assert got == "30"
+    with pytest.raises(Exception, match="Batch size reduced to zero"):
+        grouped(session, frame, "llm_reduce", model(parameters={"overflow_above": 0})).collect()
+    with pytest.raises(Exception, match="max_rows_per_group"):
+        grouped(session, frame, "llm_first", model(), max_rows_per_group=10).collect()
+    with pytest.raises(SpecError):
+        session.llm_reduce(model(), {"prompt": "no context"})
+    spread = session.reduce_groups(frame, ["g"], model(parameters={"rule": "max"}), ask("t"), spread=4).first()["summary"]
+    assert spread == max(f"t{i}" for i in range(30))
+
+
+def test_plans_hold_no_secrets(spark, session):
+    session.sql("CREATE SECRET (TYPE OPENAI, API_KEY 'very-secret')")
+    session.sql("CREATE MODEL('o', 'g', 'openai')")
+    frame = rows(spark, 2).select(session.llm_complete({"model_name": "o"}, ask("t")))
+    assert "very-secret" not in frame._jdf.queryExecution().toString() and session.secrets.names() == ["__default_openai"]
+    session.sql("DROP SECRET __default_openai")
+    assert session.secrets.names() == []
+
+
+def test_sql_functions(spark, session):
+    session.register("dig", "complete", model(), ask(F.lit("")))
+    got = spark.sql("select dig(named_struct('c0', string(id))) as x from range(3)").collect()
+    assert [r["x"] for r in got] == [MD5(str(i)) for i in range(3)]
+
+
+# providers, against a server on this machine
+
+
+@pytest.fixture()
+def server():
+    seen, answers = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, dict(self.headers), body))
+            code, answer = answers.pop(0)
+            data = json.dumps(answer).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"media")
+
+        def log_message(self, *_):
+            pass
+
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}", seen, answers
+    httpd.shutdown()
+
+
+REQUEST = Request("the prompt", "string", 2, columns=[{"data": ["a", "b"]}], images=[{"type": "image/jpeg", "data": ["QUJDREVGR0hJSktMTU5PUA==", None], "detail": "high"}])
+
+
+def test_openai(server):
+    url, seen, answers = server
+    p = make_provider("openai", "g", {"temperature": 0.1}, {"base_url": url + "/v1", "api_key": "k"})
+    answers += [(200, {"choices": [{"finish_reason": "stop", "message": {"content": '{"items": ["x", "y"]}'}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}})]
+    got, usage = p.complete(REQUEST)
+    path, headers, body = seen[0]
+    sent = json.loads(body)
+    assert got == ["x", "y"] and (usage.prompt_tokens, usage.completion_tokens) == (3, 4)
+    assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k" and sent["temperature"] == 0.1
+    items = sent["response_format"]["json_schema"]["schema"]["properties"]["items"]
+    assert (items["minItems"], items["maxItems"], items["items"]) == (2, 2, {"type": "string"})
+    assert sent["messages"][0]["content"][-1]["image_url"] == {"url": "data:image/jpeg;base64,QUJDREVGR0hJSktMTU5PUA==", "detail": "high"}
+    answers += [(200, {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}), (200, {"text": "said"})]
+    assert p.embed(["a", "b"])[0] == [[1.0], [2.0]]
+    assert p.transcribe([None, url + "/clip.mp3"]) == [None, "said"] and b"media" in seen[-1][2]
+    own = make_provider("openai", "g", {"response_format": {"strict": True, "json_schema": {"schema": {"type": "object"}}}}, {})
+    form = own.payload(REQUEST)["response_format"]["json_schema"]
+    assert form["strict"] is True and form["schema"]["properties"]["items"]["items"] == {"type": "object"}
+
+
+def test_errors_and_retries(server, monkeypatch):
+    monkeypatch.setattr(H, "PAUSE", 0.01)
+    url, seen, answers = server
+    p = make_provider("openai", "g", {}, {"base_url": url})
+    answers += [(429, {}), (500, {}), (200, {"choices": [{"message": {"content": '{"items": [1]}'}}]})]
+    assert p.complete(REQUEST)[0] == [1] and len(seen) == 3
+    for answer in ((400, {"error": {"message": "maximum context length is 8"}}), (200, {"choices": [{"finish_reason": "length", "message": {}}]})):
+        answers.append(answer)
+        with pytest.raises(TokenOverflow):
+            p.complete(REQUEST)
+    for answer in ((401, {}), (200, {"choices": [{"finish_reason": "content_filter"}]}), (200, {"choices": [{"message": {"refusal": "no"}}]}), (200, {"choices": [{"message": {"content": '{"x": 1}'}}]})):
+        answers.append(answer)
+        with pytest.raises(RuntimeError):
+            p.complete(REQUEST)
+
+
+def test_azure(server):
+    url, seen, answers = server
+    p = make_provider("azure", "dep", {}, {"base_url": url, "api_key": "k", "api_version": "v"})
+    answers += [(200, {"choices": [{"message": {"content": '{"items": ["x"]}'}}]}), (200, {"data": [{"embedding": [1.0]}]}), (200, {"data": [{"embedding": [2.0]}]})]
+    assert p.complete(REQUEST)[0] == ["x"] and p.embed(["a", "b"])[0] == [[1.0], [2.0]]
+    assert seen[0][0] == "/openai/deployments/dep/chat/completions?api-version=v" and {k.lower(): v for k, v in seen[0][1].items()}["api-key"] == "k" and len(seen) == 3
+    assert make_provider("azure", "d", {}, {"resource_name": "r", "api_version": "v"}).url("embeddings") == "https://r.openai.azure.com/openai/deployments/d/embeddings?api-version=v"
+
+
+def test_ollama(server):
+    url, seen, answers = server
+    p = make_provider("ollama", "l", {}, {"api_url": url})
+    answers += [(200, {"message": {"content": '{"items": ["x", "y"]}'}, "done": True, "done_reason": "stop", "eval_count": 2, "prompt_eval_count": 1}), (200, {"embeddings": [[1.0]]}), (200, {"done_reason": "length"})]
+    got, usage = p.complete(REQUEST)
+    sent = json.loads(seen[0][2])
+    assert got == ["x", "y"] and usage.completion_tokens == 2 and sent["stream"] is False and sent["messages"][0]["images"] == ["QUJDREVGR0hJSktMTU5PUA=="]
+    assert p.embed(["a"])[0] == [[1.0]] and seen[1][0] == "/api/embed"
+    with pytest.raises(RuntimeError):
+        p.complete(REQUEST)
+    with pytest.raises(NotImplementedError):
+        p.transcribe(["x"])
+
+
+def test_anthropic(server):
+    url, seen, answers = server
+    secret = {"base_url": url, "api_key": "k"}
+    new, old = make_provider("anthropic", "claude-sonnet-4-5", {}, secret), make_provider("anthropic", "claude-3-haiku", {"max_tokens": 7}, secret)
+    answers += [(200, {"content": [{"type": "text", "text": '{"items": ["x"]}'}], "stop_reason": "end_turn", "usage": {"input_tokens": 1, "output_tokens": 2}}), (200, {"content": [{"type": "tool_use", "input": {"items": ["y"]}}], "stop_reason": "tool_use"})]
+    assert new.complete(REQUEST)[0] == ["x"] and old.complete(REQUEST)[0] == ["y"]
+    first, second = json.loads(seen[0][2]), json.loads(seen[1][2])
+    assert first["max_tokens"] == 4096 and first["output_format"]["type"] == "json_schema" and second["max_tokens"] == 7 and second["tool_choice"]["type"] == "tool"
+    assert first["messages"][0]["content"][1]["source"]["media_type"] == "image/jpeg"
+    answers += [(200, {"stop_reason": "max_tokens", "content": []}), (400, {"type": "error", "error": {"message": "prompt is too long"}})]
+    for _ in range(2):
+        with pytest.raises(TokenOverflow):
+            new.complete(REQUEST)
+    for method in ("embed", "transcribe"):
+        with pytest.raises(NotImplementedError):
+            getattr(new, method)(["x"])
+
+
+def test_media(tmp_path, server):
+    (tmp_path / "a").write_bytes(b"hello")
+    (tmp_path / "empty").write_bytes(b"")
+    assert media.as_base64(str(tmp_path / "a")) == "aGVsbG8=" and media.as_base64(server[0] + "/x") == "bWVkaWE="
+    assert media.is_url("HTTPS://x") and not media.is_base64("short") and media.mime("image") == "image/png"
+    with pytest.raises(ValueError):
+        media.content(str(tmp_path / "empty"))
+
+
+# the package as a whole
+
+
+def test_nothing_imports_the_training_operators():
+    root = Path(__file__).parents[1]
+    code = "import sys, importlib, pkgutil, lexispark\nfor m in pkgutil.walk_packages(lexispark.__path__, 'lexispark.', onerror=None):\n    'lexispark.llm' in m.name or importlib.import_module(m.name)\nassert not [m for m in sys.modules if m.startswith('lexispark.llm.')]"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_registered_queries(spark, sf):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 20
+    assert set(entry.oracle_sql()) <= set(entry.queries())
