@@ -9,7 +9,7 @@ merge into the maximal repeats that are cut out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import cut, drop_cut, pieces, table
 
 WIDTH, SEED_WORDS = 13, 4
-#: Anchors of more occurrences are compared window by window with pre-aggregated minima and a join
-#: that splits skewed keys; up to here the rows of an anchor fit any worker. Results are the same.
-HOT = 1000
+#: An anchor of more documents is dealt out to salts of about so many: each salt marks what repeats within it,
+#: and only what is first in its salt is held against the other salts, window by window.
+HOT = 300
 #: Windows in a row that share an anchor; a longer run is several rows.
 RUN = 24
 
@@ -85,62 +85,102 @@ def _anchor_rows(width: int):
 
 
 def _window_rows(width: int):
-    """Rows (id, th, start, anchor, wh, windows): runs of windows for ordinary anchors, single ones for hot."""
+    """Rows (id, th, starts, anchor, salt, salted, windows): the windows in a row of one anchor, and all
+    word starts where they stand in the text."""
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        names = ["id", "th", "starts", "anchor", "salt", "salted", "windows"]
         for batch in batches:
-            cold, hot = batch.column(3), batch.column(4)
             for first, part in pieces(batch, 2):
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in names]
                 ids, ths = batch.column(0).slice(first, len(part)).to_pylist(), batch.column(1).slice(first, len(part)).to_pylist()
                 for i, text in enumerate(part):
                     anchors, hashes = windows(text, width)
-                    many = np.nonzero(np.isin(anchors, hot[first + i].values.to_numpy(zero_copy_only=False)))[0]
-                    few = np.nonzero(np.isin(anchors, cold[first + i].values.to_numpy(zero_copy_only=False)))[0]
-                    if len(few):
-                        breaks = np.nonzero((np.diff(few) != 1) | (np.diff(anchors[few]) != 0))[0] + 1
-                        for run_ in np.split(few, breaks):
-                            for s in range(0, len(run_), RUN):
-                                own = run_[s : s + RUN]
-                                for column, value in zip(out, (ids[i], ths[i], int(own[0]), int(anchors[own[0]]), None, hashes[own].tobytes()), strict=True):
-                                    column.append(value)
-                    if len(many):
-                        n = len(many)
-                        for column, value in zip(out, ([ids[i]] * n, [ths[i]] * n, many.tolist(), anchors[many].tolist(), hashes[many].tolist(), [None] * n), strict=True):
-                            column.extend(value)
-                kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "th", "start", "anchor", "wh", "windows"])
+                    seeds = batch.column(3)[first + i].values
+                    salts = dict(zip(seeds.field("anchor").to_pylist(), seeds.field("salts").to_pylist(), strict=True))
+                    met = np.nonzero(np.isin(anchors, seeds.field("anchor").to_numpy(zero_copy_only=False)))[0]
+                    if not len(met):
+                        continue
+                    breaks = np.nonzero((np.diff(met) != 1) | (np.diff(anchors[met]) != 0))[0] + 1
+                    runs: dict[tuple[int, bytes], list[int]] = {}
+                    for own in np.split(met, breaks):
+                        for k in range(0, len(own), RUN):
+                            w = own[k : k + RUN]
+                            runs.setdefault((int(anchors[w[0]]), hashes[w].tobytes()), []).append(int(w[0]))
+                    spread = zlib.crc32(str(ids[i]).encode())
+                    for (anchor, w), starts in runs.items():
+                        n = salts[anchor]
+                        for column, value in zip(out, (ids[i], ths[i], starts, anchor, spread % n, n > 1, w), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (batch.column(0).type, *kinds), strict=True)], names=names)
 
     return run
 
 
 def _mark(batches):
-    """Over rows sorted by anchor and id: marks the windows that stand in a smaller id. Ids ascend
-    within an anchor, so the first id a window is met under is its smallest; what is held is one anchor's."""
+    """Over rows sorted by anchor, salt and id: marks the windows that stand in a smaller id of the same salt. Ids
+    ascend, so the first id a window is met under is its smallest; what is held is one anchor's share. Where an
+    anchor has several salts, the row keeps its windows, as those unmarked are to be held against other salts'."""
     import pyarrow as pa
 
-    anchor, seen, runs = None, {}, {}
+    group, seen, runs = None, {}, {}
     for batch in batches:
-        marks = []
-        for a, doc, x in zip(*(batch.column(k).to_pylist() for k in (3, 0, 4)), strict=True):
-            if a != anchor:
-                anchor, seen, runs = a, {}, {}
+        marks, open_ = [], []
+        for doc, anchor, salt, salted, x in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6)), strict=True):
+            if (anchor, salt) != group:
+                group, seen, runs = (anchor, salt), {}, {}
+            full = (1 << len(x) // 8) - 1
             if runs.setdefault(x, doc) < doc:
-                marks.append((1 << len(x) // 8) - 1)
-                continue
-            mark = 0
-            for j in range(0, len(x), 8):
-                if seen.setdefault(x[j : j + 8], doc) < doc:
-                    mark |= 1 << j // 8
+                mark = full
+            else:
+                mark = 0
+                for j in range(0, len(x), 8):
+                    if seen.setdefault(x[j : j + 8], doc) < doc:
+                        mark |= 1 << j // 8
             marks.append(mark)
-        marked = pa.array([m != 0 for m in marks])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.int64())], names=["id", "th", "start", "mark"]).filter(marked)
+            open_.append(x if salted and mark != full else None)
+        told = pa.array([m != 0 or x is not None for m, x in zip(marks, open_, strict=True)])
+        columns = [*batch.columns[:4], pa.array(marks, pa.int64()), pa.array(open_, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "starts", "anchor", "mark", "windows"]).filter(told)
+
+
+def _open_windows(batches):
+    """The unmarked windows of rows of _mark(), one a row."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, hashes, starts = [], [], []
+        for i, (own, mark, x) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), strict=True)):
+            for j, wh in enumerate(np.frombuffer(x, np.int64).tolist()):
+                if not mark >> j & 1:
+                    rows.append(i)
+                    hashes.append(wh)
+                    starts.append([s + j for s in own])
+        at = pa.array(rows, pa.int64())
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.list_(pa.int32())), batch.column(3).take(at), pa.array(hashes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "starts", "anchor", "wh"])
+
+
+def _later(batches):
+    """Over single windows sorted by anchor, hash and id: those whose first row has a smaller id."""
+    import pyarrow as pa
+
+    window, least = None, None
+    for batch in batches:
+        told = []
+        for doc, anchor, wh in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+            if (anchor, wh) != window:
+                window, least = (anchor, wh), doc
+            told.append(least < doc)
+        columns = [*batch.columns[:3], pa.array([1] * len(told), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "starts", "mark"]).filter(pa.array(told, pa.bool_()))
 
 
 def _cut_out(width: int, names: list[str], text_at: int):
-    """Removes the marked words. The last two columns hold the starts and marks of a row's windows."""
+    """Removes the marked words. The last column holds the starts and marks of a row's windows."""
 
     def run(batches):
         import pyarrow as pa
@@ -151,50 +191,45 @@ def _cut_out(width: int, names: list[str], text_at: int):
                 n_words, n_removed, kept = [], [], []
                 for i, text in enumerate(part):
                     words = (text or b"").split()
-                    at, marks = columns[-2][first + i].as_py(), columns[-1][first + i].as_py()
+                    marks = columns[-1][first + i].as_py()
                     n_words.append(len(words))
-                    if not at:
+                    if not marks:
                         n_removed.append(0)
                         kept.append(b" ".join(words))
                         continue
-                    bits = np.unpackbits(np.array(marks, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    row, off = np.nonzero(bits)
-                    begin = np.array(at)[row] + off
+                    at = np.array([s for m in marks for s in m["starts"]])
+                    bits = np.array([m["mark"] for m in marks for _ in m["starts"]], "<i8").view(np.uint8).reshape(-1, 8)
+                    row, off = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+                    begin = at[row] + off
                     depth = np.zeros(len(words) + 1, np.int64)
                     np.add.at(depth, begin, 1)
                     np.add.at(depth, begin + width, -1)
                     gone = np.cumsum(depth[:-1]) > 0
                     n_removed.append(int(gone.sum()))
                     kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in columns[:-2]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in columns[:-1]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=names)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, th, start, mark): bit j of mark says that the window at word start + j of the row with this id
-    and text hash th stands in a row of a smaller id too."""
+    """(id, th, starts, mark): bit j of mark says that the window at word start + j, for each of the starts in the
+    row with this id and text hash th, stands in a row of a smaller id too."""
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t")).where("id is not null and t is not null")
     anchors = cut(own.select("id", "t").mapInArrow(_anchor_rows(width), f"id {kind}, anchors array<bigint>"))
     each = anchors.select("id", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    seeds = cut(
-        each.join(shared, "anchor")
-        .groupBy("id")
-        .agg(F.array_distinct(F.collect_list(F.when(F.col("n") <= HOT, F.col("anchor")))).alias("cold"), F.array_distinct(F.collect_list(F.when(F.col("n") > HOT, F.col("anchor")))).alias("hot"))
-    )
+    shared = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    seeds = cut(each.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "salts")).alias("seeds")))
     drop_cut(anchors)
-    row = f"id {kind}, th bigint, start int, anchor bigint, wh bigint, windows binary"
-    met = cut(own.join(seeds, "id").select("id", "th", "t", "cold", "hot").mapInArrow(_window_rows(width), row))
-    few = met.where("wh is null").select("id", "th", "start", "anchor", "windows").repartition("anchor").sortWithinPartitions("anchor", "id")
-    many = met.where("wh is not null").select("id", "th", "start", "anchor", "wh")
-    least = many.groupBy("anchor", "wh").agg(F.min("id").alias("least"))
-    marked = many.join(least, ["anchor", "wh"]).where("least < id").select("id", "th", "start", F.lit(1).cast("bigint").alias("mark"))
-    out = cut(few.mapInArrow(_mark, f"id {kind}, th bigint, start int, mark bigint").unionByName(marked))
+    row = f"id {kind}, th bigint, starts array<int>, anchor bigint"
+    met = own.join(seeds, "id").select("id", "th", "t", "seeds").mapInArrow(_window_rows(width), f"{row}, salt int, salted boolean, windows binary")
+    near = met.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id")
+    marked = cut(near.mapInArrow(_mark, f"{row}, mark bigint, windows binary"))
     drop_cut(seeds)
-    drop_cut(met)
-    return out
+    single = marked.where("windows is not null").mapInArrow(_open_windows, f"{row}, wh bigint").repartition("anchor", "wh").sortWithinPartitions("anchor", "wh", "id")
+    later = single.mapInArrow(_later, f"id {kind}, th bigint, starts array<int>, mark bigint")
+    return marked.where("mark <> 0").select("id", "th", "starts", "mark").unionByName(later)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -207,11 +242,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     added = ["n_words", "n_removed", "kept_text"]
     docs = docs.drop(*[c for c in docs.columns if c in added])
-    marks = repeated_windows(docs, id_col, text_col, width).groupBy("id", "th").agg(F.collect_list(F.struct("start", "mark")).alias("w"))
-    marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("w.start").alias("_start"), F.col("w.mark").alias("_mark"))
+    marks = repeated_windows(docs, id_col, text_col, width).groupBy("id", "th").agg(F.collect_list(F.struct("starts", "mark")).alias("_marks"))
+    marks = marks.withColumnsRenamed({"id": "_mark_id", "th": "_mark_th"})
     names = docs.columns
     joined = docs.join(marks, (docs[id_col] == marks["_mark_id"]) & (F.xxhash64(docs[text_col]) == marks["_mark_th"]), "left")
-    whole = joined.select(*[docs[c] for c in names], docs[text_col].cast("binary").alias("_bytes"), "_start", "_mark")
+    whole = joined.select(*[docs[c] for c in names], docs[text_col].cast("binary").alias("_bytes"), "_marks")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = whole.mapInArrow(_cut_out(width, [*names, "_bytes", *added], len(names)), f"{fields}, _bytes binary, n_words bigint, n_removed bigint, kept_text binary")
     return out.drop("_bytes").withColumn("kept_text", F.col("kept_text").cast("string"))
