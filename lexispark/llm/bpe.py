@@ -11,8 +11,8 @@ and of the last token before it leaves the two apart.
 from __future__ import annotations
 
 import functools
-import gc
 import json
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,6 +23,10 @@ from lexispark.llm.common import pieces, table
 
 #: Words whose encodings a worker keeps, and pairs whose test it keeps; it starts afresh beyond that.
 MOST_WORDS, MOST_PAIRS = 300_000, 1_000_000
+#: Characters of a word up to which states are found when asked for.
+DEEP = 100
+#: Characters by which the lengths of tokens are looked up, and those of the tokens that have no more.
+TAIL, SHORT = 3, (2, 1)
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 #: Texts of these characters alone are their own canonical composition and lower-case character by
@@ -55,7 +59,12 @@ class WordBpe:
         self.names = [""] * (1 + max([*self.ids.values(), *self.specials.values()]))
         for name, i in (*self.ids.items(), *self.specials.items()):
             self.names[i] = name
-        self.longest = max(map(len, self.ids))
+        lengths: dict[str, dict[str, set[int]]] = {"": {}, END: {}}
+        for name in self.ids:
+            body, end = (name[: -len(END)], END) if name.endswith(END) and len(name) > len(END) else (name, "")
+            lengths[end].setdefault(body[-TAIL:], set()).add(len(body))
+        #: By word end or not, and by the last TAIL characters: the lengths of the tokens that may end a prefix, the longest first.
+        self.lengths = {end: {tail: tuple(sorted({*found, *SHORT}, reverse=True)) for tail, found in own.items()} for end, own in lengths.items()}
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -63,7 +72,8 @@ class WordBpe:
         self.odd = regex.compile(PLAIN)
         self.symbols = byte_symbols()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces
+        self.runs: dict[str, bytes] = {}  # between white spaces
 
     def symbols_of(self, token: int) -> list[int]:
         name = self.names[token]
@@ -93,48 +103,50 @@ class WordBpe:
             self.pairs[a, b] = found
         return found
 
-    def last_token(self, prefix: str, lasts: list[int], end: str = "") -> int:
-        """The last token of a prefix, given the last tokens of its own prefixes (lasts[n]: of the first n characters)."""
-        n, ids = len(prefix), self.ids
-        for start in range(max(0, n - self.longest), n):
-            token = ids.get(prefix[start:] + end)
-            if token is not None and self.apart(lasts[start], token):
-                return token
-        raise ValueError(f"no token ends {prefix!r}")
+    def last_token(self, word: str, n: int, lasts: list[int | None], end: str = "") -> int:
+        """The last token of the first n characters of word. lasts[k] is that of its first k characters, None
+        until it is asked for: then it is found here and kept for all words that share these characters."""
+        ids = self.ids
+        for length in self.lengths[end].get(word[max(0, n - TAIL) : n], SHORT):
+            if length <= n:
+                token = ids.get(word[n - length : n] + end)
+                if token is not None:
+                    before = lasts[n - length]
+                    if before is None:
+                        before = lasts[n - length] = self.last_token(word, n - length, lasts)
+                    if self.apart(before, token):
+                        return token
+        raise ValueError(f"no token ends {word[:n]!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The tokens of distinct words (of byte symbols), by depth-first traversal of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = True  # a word ends here
+        """The tokens of distinct words (of byte symbols), by depth-first traversal of their trie.
+
+        The trie is held as its words in depth-first order, which is that of their symbols: the path from the root
+        to a word is the word, and what two neighbours share is the path to the node where they part. On the way
+        from one word to the next, the states of the nodes above that one stay, and those below are dropped.
+        """
         out: dict[str, list[int]] = {}
-        lasts = [-1]  # of the prefixes of the node that is visited
-        size = {}
-        stack = [("", iter(root.items()))]
-        while stack:
-            prefix, children = stack[-1]
-            c, node = next(children, (None, None))
-            if c is None:
-                stack.pop()
-                lasts.pop()
-            elif c == "":
-                token, at, tokens = self.last_token(prefix, lasts, END), len(prefix), []
-                length = len(self.names[token]) - len(END)
-                while True:
-                    tokens.append(token)
-                    at -= length
-                    if at == 0:
-                        break
-                    token = lasts[at]
-                    length = size.setdefault(token, len(self.names[token]))
-                out[prefix] = tokens[::-1]
-            else:
-                prefix += c
-                lasts.append(self.last_token(prefix, lasts) if node.keys() != {""} else -2)  # only words' ends follow a leaf
-                stack.append((prefix, iter(node.items())))
+        names, end = self.names, len(END)
+        path, lasts = "", [-1]  # lasts[k]: the state of the node that is k characters down the path
+        for word in sorted(words):
+            shared, n = 0, len(word)
+            most = min(len(path), n)
+            while shared < most and path[shared] == word[shared]:
+                shared += 1
+            lasts[shared + 1 :] = [None] * (n - shared)
+            path = word
+            for k in range(DEEP, n):  # far down, states are found on the way, as asking for them later would nest too deeply
+                if lasts[k] is None:
+                    lasts[k] = self.last_token(word, k, lasts)
+            token = self.last_token(word, n, lasts, END)
+            tokens, at = [token], n - len(names[token]) + end
+            while at:
+                token = lasts[at]
+                if token is None:
+                    token = lasts[at] = self.last_token(word, at, lasts)
+                tokens.append(token)
+                at -= len(names[token])
+            out[word] = tokens[::-1]
         return out
 
     def split(self, text: str) -> list[str]:
@@ -151,26 +163,31 @@ class WordBpe:
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's token ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= MOST_WORDS:
-            self.known.clear()
-        parts = [self.split(t) for t in texts]
-        known = self.known
+        """Each text's token ids as little-endian unsigned 32-bit integers.
+
+        No piece of a plain text crosses white space, so each distinct run between white spaces is split and
+        encoded once; other texts are split as a whole.
+        """
+        for kept in (self.known, self.runs):
+            if len(kept) >= MOST_WORDS:
+                kept.clear()
+        runs, known = self.runs, self.known
+        plain = [None if self.odd.search(t) else t.split() for t in texts]
+        fresh = {r: self.split(r) for p in plain if p is not None for r in set(p).difference(runs)}
+        whole = [self.split(t) if p is None else () for t, p in zip(texts, plain, strict=True)]
         for name, i in self.specials.items():
             known[name] = np.array([i], "<u4").tobytes()
-        missing = {w for p in parts for w in p if w not in known}
-        gc.disable()  # a trie's many nodes are no garbage: the collector would only walk them again and again
-        try:
-            for w, tokens in self.encode_words(missing).items():
-                known[w] = np.array(tokens, "<u4").tobytes()
-        finally:
-            gc.enable()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        missing = {w for pieces_ in (*fresh.values(), *whole) for w in pieces_ if w not in known}
+        for w, tokens in self.encode_words(missing).items():
+            known[w] = struct.pack(f"<{len(tokens)}I", *tokens)
+        for r, pieces_ in fresh.items():
+            runs[r] = known[pieces_[0]] if len(pieces_) == 1 else b"".join([known[w] for w in pieces_])
+        return [b"".join(map(known.__getitem__, w) if p is None else map(runs.__getitem__, p)) for p, w in zip(plain, whole, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' names, joined by one space: what a file without a decoder asks for."""
         names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.lru_cache(maxsize=2)
