@@ -4,9 +4,9 @@ Tokens are words: the commonest have ids of their own, all others share hashed i
 embedding for each neighbour's id and place, squashes the sum and maps it to a distribution over ids. A text's
 score is the sum, over its tokens, of the log-probability of the token given its neighbours.
 
-Word counts cover the whole corpus. Training takes a fixed share of the documents, in shards that grow in
-number and not in size: each shard's copy descends on its own, copies are averaged in groups, and the
-average starts the next round on other documents.
+Word counts cover the whole corpus, and so does training: every document is in one round, in shards that grow
+in number and not in size. Each shard's copy descends on its own, copies are averaged in groups, and the
+average starts the next round on the other documents.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ OWN, HASHED, WIDTH = 191, 64, 16
 IDS = 1 + OWN + HASHED
 #: Places of the neighbours.
 PLACES = (-2, -1, 1, 2)
-#: Of every so many documents one is for training, by hash; each round has its own.
-SHARE, ROUNDS, SHARD, BATCH, RATE = 16, 2, 250, 512, 0.1
+#: Rounds that share all documents among them, documents a shard is meant to hold, targets a step, and its size.
+ROUNDS, SHARD, BATCH, RATE = 2, 250, 512, 0.1
 #: Words that a worker counts before it hands counts on, and shared words whose id it keeps.
 MOST_WORDS = 300_000
 #: Models that one task averages at most.
@@ -126,8 +126,8 @@ class Network:
     def log_probabilities(self, targets: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Of each target given its neighbours."""
         out = np.empty(len(targets))
-        for i in range(0, len(targets), 4096):
-            part = slice(i, i + 4096)
+        for i in range(0, len(targets), BATCH):
+            part = slice(i, i + BATCH)
             logits = self.hidden(near[:, part]) @ self.parts[1]
             logits += self.parts[2]
             logits -= logits.max(1, keepdims=True)
@@ -142,15 +142,20 @@ class Network:
         for i in range(0, len(targets), BATCH):
             t, c = targets[i : i + BATCH], near[:, i : i + BATCH]
             h = self.hidden(c)
-            logits = h @ output + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
+            p = h @ output
+            p += bias
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(t)), t] -= 1
             p /= len(t)
             back = (p @ output.T) * (1 - h * h)
             steps = [np.zeros_like(table), h.T @ p, p.sum(0)]
-            for k in range(len(PLACES)):
-                np.add.at(steps[0][k], c[k], back)
+            flat = (c + IDS * np.arange(len(PLACES))[:, None]).ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.diff(flat, prepend=-1))
+            steps[0].reshape(-1, WIDTH)[flat[first]] = np.add.reduceat(back[order % len(t)], first, axis=0)
             for part, step, seen in zip(self.parts, steps, past, strict=True):
                 seen += step * step
                 part -= RATE * step / np.sqrt(seen)
@@ -177,13 +182,13 @@ def _averaged(models: DataFrame, n: int) -> np.ndarray:
 
 
 def _descend(tokens: Tokens, flat: np.ndarray):
-    """Trains a copy of the network on one shard, in the order of its texts' hashes."""
+    """Trains a copy of the network on one shard, in the order of its rows' keys."""
 
     def run(key, found):
         import pyarrow as pa
 
         model, total = Network(flat.copy()), 0
-        for batch in found.sort_by("h").to_batches(max_chunksize=500):
+        for batch in found.sort_by("r").to_batches(max_chunksize=500):
             for _, part in pieces(batch, 2):
                 targets, near, _ = tokens.examples(part)
                 model.train(targets, near)
@@ -193,15 +198,38 @@ def _descend(tokens: Tokens, flat: np.ndarray):
     return run
 
 
+def deal(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(r, t): every row whose text t is not null, with a key r that deals rows to rounds and shards. It is a hash of
+    the row's columns and of the number of rows like it that its task has met, so copies do not stay together."""
+    import pyarrow as pa
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        met: Counter = Counter()
+        for batch in batches:
+            out = []
+            for r in batch.column(0).to_pylist():
+                n = met[r]
+                met[r] = n + 1
+                out.append(xxh64_intdigest(r.to_bytes(8, "little", signed=True), n) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(1)], names=["r", "t"])
+            if len(met) > MOST_WORDS:
+                met.clear()
+
+    key = F.xxhash64(text_col, *[c for c in docs.columns if c != text_col and "map<" not in docs.schema[c].dataType.simpleString()])
+    rows = docs.select(key.alias("r"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
+    return rows.mapInArrow(run, "r bigint, t binary")
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Tokens, Network]:
-    """Ids from the counts of all words, and a network trained on a share of the documents."""
+    """Ids from the counts of all words, and a network trained on all documents."""
     counted = cut(count_words(docs, text_col))
     top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()]
     tokens = Tokens([w for w, _ in top])
     drop_cut(counted)
-    share = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    share = cut(share.where(f"pmod(h, {SHARE}) < {ROUNDS}"))
-    sizes = {r["k"]: r["n"] for r in share.groupBy(F.expr(f"pmod(h, {SHARE})").alias("k")).agg(F.count("*").alias("n")).collect()}
+    dealt = cut(deal(docs, text_col))
+    sizes = {x["k"]: x["n"] for x in dealt.groupBy(F.expr(f"pmod(r, {ROUNDS})").alias("k")).agg(F.count("*").alias("n")).collect()}
     start = np.zeros(IDS)
     start[1 : 1 + len(top)] = [n for _, n in top]
     start[1 + OWN :] = max(1, start.sum() / IDS)
@@ -210,10 +238,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Tokens, Network]:
         if not sizes.get(turn):
             continue
         shards = -(-sizes[turn] // SHARD)
-        rows = share.where(f"pmod(h, {SHARE}) = {turn}").select(F.expr(f"pmod(shiftright(h, 8), {shards})").alias("shard"), "h", "t")
+        rows = dealt.where(f"pmod(r, {ROUNDS}) = {turn}").select(F.expr(f"pmod(shiftright(r, 8), {shards})").alias("shard"), "r", "t")
         flat = _averaged(rows.groupBy("shard").applyInArrow(_descend(tokens, network.flat), "shard bigint, weight double, flat binary"), shards)
         network = Network(flat)
-    drop_cut(share)
+    drop_cut(dealt)
     return tokens, network
 
 

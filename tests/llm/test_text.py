@@ -297,6 +297,21 @@ def test_scores(spark, sf):
     assert scoring.score(frame.where("false"), *nothing).count() == 0 and scoring.score(frame, *nothing).where("log_likelihood > 0").count() == 0
 
 
+def test_training_takes_every_document(spark):
+    """All rows are in one round each, and copies of one text, even of whole rows, part."""
+    same = [(i, "one text for many rows", "en", "a") for i in range(1500)] + [(7, "one row for many rows", "en", "a")] * 1500
+    frame = docs(spark, [*same, (1, None, "en", "a"), *((i, f"text {i}", None, None) for i in range(50))])
+    dealt = scoring.deal(frame).collect()
+    assert len(dealt) == 3050
+    for text in {bytes(x["t"]) for x in dealt[:3000]} & {b"one text for many rows", b"one row for many rows"}:
+        keys = [x["r"] for x in dealt if bytes(x["t"]) == text]
+        shards = np.unique([(k % scoring.ROUNDS, (k >> 8) % 3) for k in keys], axis=0, return_counts=True)[1]
+        assert len(shards) == 3 * scoring.ROUNDS and max(shards) < 2 * scoring.SHARD
+    for words in ("a b a b c ", "x y z x y ", "one two one ", "p q r s "):  # a single document reaches the weights, whatever its text
+        _, network = scoring.fit(docs(spark, [(1, words * 40, "en", "a")]))
+        assert not np.array_equal(network.parts[0], scoring.Network.start(np.zeros(scoring.IDS)).parts[0])
+
+
 # WARC
 
 
