@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood: a network predicts every token from its neighbours on both sides.
 
 Tokens are words: the commonest have ids of their own, all others share hashed ids. The network adds an
-embedding for each neighbour's id and place, squashes the sum and maps it to a distribution over ids. A text's
-score is the sum, over its tokens, of the log-probability of the token given its neighbours.
+embedding for each neighbour's id and place, squashes the sum and maps it to a distribution over ids. A word
+of a shared id has a probability among all words of that id too, from the counts of all words of the corpus. A
+text's score is the sum, over its tokens, of the log-probability of the token given its neighbours.
 
 Word counts cover the whole corpus, and so does training: every document is in one round, in shards that grow
 in number and not in size. Each shard's copy descends on its own, copies are averaged in groups, and the
@@ -26,6 +27,12 @@ IDS = 1 + OWN + HASHED
 PLACES = (-2, -1, 1, 2)
 #: Rounds that share all documents among them, documents a shard is meant to hold, targets a step, and its size.
 ROUNDS, SHARD, BATCH, RATE = 2, 250, 512, 0.1
+#: Words whose counts every worker holds; the counts of all others are joined, to the same scores.
+COMMON = 200_000
+#: What each word, and all words unseen together, have besides their counts among the words of a shared id.
+EXTRA = 0.5
+#: Sums of logarithms are of whole multiples of 1 / FINE, so that their order does not tell.
+FINE = 1 << 30
 #: Words that a worker counts before it hands counts on, and shared words whose id it keeps.
 MOST_WORDS = 300_000
 #: Models that one task averages at most.
@@ -222,12 +229,13 @@ def deal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "r bigint, t binary")
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Tokens, Network]:
-    """Ids from the counts of all words, and a network trained on all documents."""
-    counted = cut(count_words(docs, text_col))
+def fit(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[Tokens, Network]:
+    """Ids from the counts of all words (count_words(), unless given), and a network trained on all documents."""
+    counted = cut(count_words(docs, text_col)) if counts is None else counts
     top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()]
     tokens = Tokens([w for w, _ in top])
-    drop_cut(counted)
+    if counts is None:
+        drop_cut(counted)
     dealt = cut(deal(docs, text_col))
     sizes = {x["k"]: x["n"] for x in dealt.groupBy(F.expr(f"pmod(r, {ROUNDS})").alias("k")).agg(F.count("*").alias("n")).collect()}
     start = np.zeros(IDS)
@@ -245,20 +253,52 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Tokens, Network]:
     return tokens, network
 
 
-def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def within(counts: DataFrame, tokens: Tokens) -> tuple[dict[bytes, float], np.ndarray]:
+    """(log(n + EXTRA) of the COMMON commonest words of shared ids at most, log of each id's total with all EXTRAs;
+    0 for words and ids of their own). A word's log-probability among its id's words is the difference."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids = np.array(tokens.ids(batch.column(0).to_pylist()), np.int64)
+            n = np.bincount(ids, batch.column(1).to_numpy(), IDS).astype(np.int64)
+            kinds = np.bincount(ids, minlength=IDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(IDS)), pa.array(n), pa.array(kinds)], names=["id", "n", "kinds"])
+
+    totals = np.zeros(IDS)
+    for row in counts.mapInArrow(run, "id bigint, n bigint, kinds bigint").groupBy("id").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        totals[row["id"]] = row["n"] + EXTRA * row["kinds"]
+    totals = np.log(totals + EXTRA)
+    totals[: 1 + OWN] = 0
+    least, held = None, 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        held += row["words"]
+        if held > COMMON + len(tokens.own):
+            break
+        least = row["n"]
+    common = {}
+    if least is not None:
+        found = counts.where(F.col("n") >= least).toArrow()
+        common = dict(zip(found["word"].to_pylist(), np.log(found["n"].to_numpy() + EXTRA).tolist(), strict=True))
+    return common | dict.fromkeys(tokens.own, 0.0), totals
+
+
+def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "text", keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Columns keep (all but the text, unless named) with n_tokens, log_likelihood (the sum over all tokens of the whole
     text), mean_log_likelihood and perplexity; columns of docs with these names are replaced.
 
-    A null text, or one without words, has no tokens, the sum 0, and null mean and perplexity. Rows are independent.
+    With counts (word, n), a table of count_words(), each word of a shared id adds its log-probability among all words of
+    that id; without, the sum is over ids alone. A null text, or one without words, has no tokens, the sum 0, and null
+    mean and perplexity. Rows are independent.
     """
     import pyarrow as pa
 
     added = ["n_tokens", "log_likelihood"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, *added, "mean_log_likelihood", "perplexity")]
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat, None if counts is None else within(counts, tokens)))
 
     def run(batches):
-        own, flat = shared.value
+        own, flat, inner = shared.value
         model = Network(flat)
         for batch in batches:
             for first, part in pieces(batch, len(keep), 2_000_000):
@@ -266,15 +306,42 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
                 sums = np.zeros(len(part))
                 if len(targets):
                     some = lengths > 0
-                    sums[some] = np.add.reduceat(model.log_probabilities(targets, near), (np.cumsum(lengths) - lengths)[some])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(keep))), pa.array(lengths), pa.array(sums)], names=[*keep, *added])
+                    each = model.log_probabilities(targets, near)
+                    if inner:
+                        each -= inner[1][targets]
+                    sums[some] = np.add.reduceat(each, (np.cumsum(lengths) - lengths)[some])
+                rest = []
+                for i, text in enumerate(part if inner else []):
+                    words = words_of(text)
+                    found = list(map(inner[0].get, words))
+                    if None in found:
+                        rest.append([w for w, x in zip(words, found, strict=True) if x is None])
+                        found = [x for x in found if x is not None]
+                    else:
+                        rest.append(None)
+                    sums[i] += sum(found)
+                own_columns = [pa.array(lengths), pa.array(sums), *([pa.array(rest, pa.list_(pa.binary()))] if inner else [])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(keep))), *own_columns], names=[*keep, *added, *(["_rest"] if inner else [])])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{fields}n_tokens bigint, log_likelihood double")
+    out = docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{fields}n_tokens bigint, log_likelihood double" + ("" if counts is None else ", _rest array<binary>"))
+    if counts is not None:
+        out = _with_rest(out, counts)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.withColumn("mean_log_likelihood", mean).withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))
 
 
+def _with_rest(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """scored, with log(n + EXTRA) of the words in _rest added to log_likelihood; a word without a count has n = 0."""
+    scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))
+    words = scored.select("_row", F.explode("_rest").alias("word"))
+    term = F.round(F.log(F.coalesce("n", F.lit(0)) + EXTRA) * FINE).cast("bigint")
+    rest = words.join(counts, "word", "left").groupBy("_row").agg(F.sum(term).alias("_more"))
+    out = scored.drop("_rest").join(rest, "_row", "left")
+    return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("_more") / FINE, F.lit(0.0))).drop("_row", "_more")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, *fit(docs))
+    counts = cut(count_words(docs))
+    return score(docs, *fit(docs, counts=counts), counts=counts)

@@ -312,6 +312,34 @@ def test_training_takes_every_document(spark):
         assert not np.array_equal(network.parts[0], scoring.Network.start(np.zeros(scoring.IDS)).parts[0])
 
 
+def test_every_word_has_a_probability(spark, monkeypatch):
+    """Words of one shared id score by their counts, held by workers or joined, and with the unseen they sum to 1."""
+    words = [f"w{i}" for i in range(600) for _ in range(1 + i % 7 + 900 // (1 + i))]
+    frame = docs(spark, [(i, " ".join(words[i::40]), "en", "a") for i in range(40)])
+    counts = scoring.count_words(frame).cache()
+    tokens, network = scoring.fit(frame, counts=counts)
+    n = {bytes(x["word"]): x["n"] for x in counts.collect()}
+    ids = dict(zip(n, tokens.ids(list(n)), strict=True))
+    shared = next(k for k in ids.values() if k > scoring.OWN)
+    told = sorted((w for w, k in ids.items() if k == shared), key=n.get)
+    junk = next(w for w in (b"junk%d" % i for i in range(10_000)) if tokens.ids([w]) == [shared])
+    texts = [*(w.decode() for w in [junk, *told]), "w0 " + told[0].decode() + " " + junk.decode(), None, ""]
+    rows = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    plain = {x["doc_id"]: x["log_likelihood"] for x in scoring.score(rows, tokens, network).collect()}
+    total = sum(n[w] + 0.5 for w in told) + 0.5
+    share = [math.log((n.get(w, 0) + 0.5) / total) for w in [junk, *told]]
+    want = [*share, share[0] + share[1], 0, 0]
+    assert sum(map(math.exp, share)) == pytest.approx(1) and len(told) > 2 and n[told[-1]] > n[told[0]]
+    for held in (0, 100, 200_000):
+        monkeypatch.setattr(scoring, "COMMON", held)
+        got = scoring.score(rows, tokens, network, counts=counts).collect()
+        assert len(got) == len(texts) and got[0].asDict().keys() == scoring.score(rows, tokens, network).first().asDict().keys()
+        for x in got:
+            assert x["log_likelihood"] - plain[x["doc_id"]] == pytest.approx(want[x["doc_id"]], abs=1e-6)
+    empty = frame.where("false")
+    assert scoring.score(empty, *scoring.fit(empty), counts=scoring.count_words(empty)).count() == 0
+
+
 # WARC
 
 
