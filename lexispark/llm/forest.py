@@ -85,38 +85,43 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_forest(vectors: DataFrame, count: int, seed: int = 7) -> list[Tree]:
-    """Trees over a bounded sample of vectors (c1, c2, v), of which there are count."""
+def fit_forest(vectors: DataFrame, count: int, seed: int = 7) -> dict[int, list[Tree]]:
+    """Trees for each length of vectors (c1, c2, v), over a bounded sample of all, of which there are count. A length
+    that the sample misses has none: its vectors share one leaf."""
     sample = vectors.orderBy("c1", "c2").limit(FIT).select("v").collect()
-    if not sample:
-        return []
-    x = unit([r["v"] for r in sample])
-    leaf = max(LEAST, LEAF * len(x) // count)
-    return [Tree.fit(x, leaf, np.random.default_rng([seed, t])) for t in range(TREES)]
+    leaf, by_length = max(LEAST, LEAF * len(sample) // count), {}
+    for r in sample:
+        by_length.setdefault(len(r["v"]), []).append(r["v"])
+    return {d: [Tree.fit(unit(own), leaf, np.random.default_rng([seed, t])) for t in range(TREES)] for d, own in sorted(by_length.items())}
 
 
-def _place(trees: list[Tree]):
-    """Rows (leaf, c1, c2, n, least, v, leaves): a vector in each of its leaves, with all of them."""
+def _place(forest: dict[int, list[Tree]]):
+    """Rows (dims, leaf, c1, c2, n, least, v, leaves): a vector in each of its leaves, with all of them. Leaves are
+    numbered anew for each length dims."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
-        import pyarrow as pa
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column(4))
+            for dims in pc.unique(lengths).to_pylist():
+                yield from placed(dims, whole.filter(pc.equal(lengths, dims)))
 
+    def placed(dims, batch):
+        trees = forest.get(dims) or [Tree(np.zeros((0, dims)), np.zeros(0), np.zeros((0, 2), np.int64), 1)]
         base = np.cumsum([0, *(t.leaves for t in trees)])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column(4).to_pylist())
-            found = [t.leaves_of(x) for t in trees]
-            row = np.concatenate([r for r, _ in found])
-            leaf = np.concatenate([k + b for (_, k), b in zip(found, base, strict=False)])
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order].astype(np.int32)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf))
-            full = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in x], pa.binary()), own], names=["c1", "c2", "n", "least", "v", "leaves"])
-            for i in range(0, len(row), 2000):
-                part = full.take(pa.array(row[i : i + 2000]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[i : i + 2000]), *part.columns], names=["leaf", *part.schema.names])
+        x = unit(batch.column(4).to_pylist())
+        found = [t.leaves_of(x) for t in trees]
+        row = np.concatenate([r for r, _ in found])
+        leaf = np.concatenate([k + b for (_, k), b in zip(found, base, strict=False)])
+        order = np.lexsort((leaf, row))
+        row, leaf = row[order], leaf[order].astype(np.int32)
+        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf))
+        full = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in x], pa.binary()), own], names=["c1", "c2", "n", "least", "v", "leaves"])
+        for i in range(0, len(row), 2000):
+            part = full.take(pa.array(row[i : i + 2000]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, dims, np.int32)), pa.array(leaf[i : i + 2000]), *part.columns], names=["dims", "leaf", *part.schema.names])
 
     return run
 
@@ -128,7 +133,7 @@ def _compare(least_cosine: float):
     def run(key, found):
         import pyarrow as pa
 
-        leaf, a, b = (k.as_py() for k in key)
+        _, leaf, a, b = (k.as_py() for k in key)
         x = np.frombuffer(b"".join(found["v"].to_pylist()), np.float64).reshape(found.num_rows, -1)
         n = found["n"].to_numpy()
         tile = found["tile"].to_numpy()
@@ -166,26 +171,23 @@ def near_vectors(rows: DataFrame, least_cosine: float = COSINE, id_col: str = "v
     """One row per row: id_col, n_links (other rows found with at least the cosine), component_id (the smallest id
     reachable over such links, itself included) and kept (whether that is its own).
 
-    Equal vectors are one class, compared once and counted by their number. Vectors that are null, zero, of
-    another length than the commonest, or hold null or non-finite components link with nothing, and so
+    Equal vectors are one class, compared once and counted by their number. Vectors of different
+    lengths do not link. Those that are null, zero, or hold null or non-finite components link with nothing, and so
     do rows with a null id, whose component_id is null and kept false. Rows of equal ids are one node.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     own = rows.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    sizes = own.where("fine").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 0
-    own = own.withColumn("fine", F.col("fine") & (F.size("v") == dims))
     keyed = own.withColumns({"c1": F.when(F.col("fine"), F.xxhash64("v")), "c2": F.when(F.col("fine"), F.xxhash64(F.lit(1), F.reverse("v")))})
     classes = cut(keyed.where("fine").groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("v").alias("v")))
     trees = fit_forest(classes, max(1, classes.count()))
     kind = rows.schema[id_col].dataType.simpleString()
-    placed = cut(classes.mapInArrow(_place(trees), f"leaf int, c1 bigint, c2 bigint, n bigint, least {kind}, v binary, leaves array<int>"))
-    tiles = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # a row a leaf: as many as the trees have
-    tiled = placed.join(tiles, "leaf").withColumn("tile", F.expr("cast(pmod(c1, tiles) as int)"))
+    placed = cut(classes.mapInArrow(_place(trees), f"dims int, leaf int, c1 bigint, c2 bigint, n bigint, least {kind}, v binary, leaves array<int>"))
+    tiles = F.broadcast(placed.groupBy("dims", "leaf").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # a row a leaf: as many as the trees have
+    tiled = placed.join(tiles, ["dims", "leaf"]).withColumn("tile", F.expr("cast(pmod(c1, tiles) as int)"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least(u, "tile").alias("a"), F.greatest(u, "tile").alias("b")))
-    met = tiled.select("leaf", "c1", "c2", "n", "least", "v", "leaves", "tile", F.inline(pairs))
-    found = cut(met.groupBy("leaf", "a", "b").applyInArrow(_compare(least_cosine), f"c1 bigint, c2 bigint, links bigint, least {kind}, root {kind}"))
+    met = tiled.select("dims", "leaf", "c1", "c2", "n", "least", "v", "leaves", "tile", F.inline(pairs))
+    found = cut(met.groupBy("dims", "leaf", "a", "b").applyInArrow(_compare(least_cosine), f"c1 bigint, c2 bigint, links bigint, least {kind}, root {kind}"))
     links = found.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("least").alias("a"), F.col("root").alias("b")))
     known = classes.select("c1", "c2", "n", "least").join(links, ["c1", "c2"], "left").join(parts.withColumnRenamed("node", "least"), "least", "left")

@@ -146,3 +146,18 @@ def test_forest_edges(spark):
     assert forest.near_vectors(frame.where("vec_id = 3")).count() == 1
     floats = frame.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     assert {r["vec_id"]: r["n_links"] for r in forest.near_vectors(floats.where("vec_id in (1, 2, 11)")).collect()} == {1: 1, 2: 1, 11: 0}
+
+
+def test_near_vectors_of_mixed_lengths(spark):
+    """Each length links among its own, the rarer ones as well."""
+    x, y = vectors(300, 16)[:300], vectors(200, 9)[:200]
+    rows = [(i, [float(k) for k in v]) for i, v in enumerate([*x, *y, *x[:5], *y[:60], y[0] * 2, [1.0], [2.0], [-1.0]])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    want = {}
+    for d in (16, 9, 1):
+        own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if len(v) == d]
+        u = np.array([v for _, v in own])
+        for (i, _), n in zip(own, (u @ u.T >= forest.COSINE - 1e-12).sum(1) - 1, strict=True):
+            want[i] = int(n)
+    assert {i: g[0] for i, g in got.items()} == want
+    assert got[505][0] >= 1 and got[505][1] <= 300 and not got[505][2] and got[567][1] == 566 and got[568][2]
