@@ -96,7 +96,7 @@ def body(columns: Columns, form: TupleFormat) -> str:
 
 def tuples(columns: Columns, form: TupleFormat) -> str:
     """The rows of a request: their number, a header, and the rows in the format."""
-    return f"- The Number of Tuples to Generate Responses for: {row_count(columns)}\n\n" + header(columns, form) + body(columns, form)
+    return f"Rows below: {row_count(columns)}\n\n" + header(columns, form) + body(columns, form)
 
 
 def transcription_name(name: str | None) -> str:

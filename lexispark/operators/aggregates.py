@@ -50,13 +50,14 @@ def chosen(client: ModelClient, rows: list[tuple]) -> str:
 def reranked(client: ModelClient, rows: list[tuple]) -> str:
     """All rows, in the order of relevance; a single row is given back unasked."""
     ask = lambda window: client.ask([rows[i] for i in window], ids=window)
-    order = batching.rerank(len(rows), client.spec.model.batch, ask, client.spec.options.get("order", "relevance"))
+    options = client.spec.options
+    order = batching.rerank(len(rows), client.spec.model.batch, ask, options.get("order", "relevance"), options.get("passes", 1))
     return column_json(client, [rows[i] for i in order])
 
 
-def gathered(spec: CallSpec, handle: Handle, work: Callable[[ModelClient, list[tuple]], str], columns: list[Column], order_by: list[Column]) -> Column:
-    """work over a group's rows, ordered by order_by and then by the columns themselves."""
-    names = [f"c{i}" for i in range(len(columns))]
+def function_of(spec: CallSpec, handle: Handle, work: Callable[[ModelClient, list[tuple]], str], width: int):
+    """The Arrow function of a group-wise call, over the sorted array of a group's rows (structs of width texts)."""
+    names = [f"c{i}" for i in range(width)]
     most = spec.options.get("max_rows_per_group")
 
     def run(groups: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -72,8 +73,13 @@ def gathered(spec: CallSpec, handle: Handle, work: Callable[[ModelClient, list[t
                     out.append(work(client, [tuple(r["row"][n] for n in names) for r in rows]))
                 yield pd.Series(out, dtype=object)
 
+    return F.pandas_udf(run, T.StringType()).asNondeterministic()
+
+
+def gathered(spec: CallSpec, handle: Handle, work: Callable[[ModelClient, list[tuple]], str], columns: list[Column], order_by: list[Column]) -> Column:
+    """work over a group's rows, ordered by order_by and then by the columns themselves."""
     row = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_by)], packed(columns).alias("row"))
-    return F.pandas_udf(run, T.StringType()).asNondeterministic()(F.array_sort(F.collect_list(row)))
+    return function_of(spec, handle, work, len(columns))(F.array_sort(F.collect_list(row))).alias(spec.function_name)
 
 
 WORK = {"reduce": reduced, "first": chosen, "last": chosen, "rerank": reranked}

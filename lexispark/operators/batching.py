@@ -107,13 +107,16 @@ def row_id(answer: Any, allowed: list[int]) -> int:
 
 
 def tournament(n: int, size: int, ask: Callable[[list[int]], Any]) -> int:
-    """The row that wins against all others, window by window; the winner so far joins the next window."""
+    """The row that wins against all others, window by window; the winner so far joins the next window.
+
+    A window compares at least two rows, also at a batch size of 1; where the model overflows on two, an error is raised.
+    """
     winner, at = None, 0
     while at < n:
-        fresh = list(range(at, min(at + size, n)))
+        fresh = list(range(at, min(at + (size if winner is not None else max(size, 2)), n)))
         window = fresh if winner is None else [winner, *fresh]
-        if len(window) == 1:
-            return window[0]
+        if n == 1:
+            return 0
         try:
             found = row_id(ask(window), window)
         except TokenOverflow:
@@ -124,40 +127,52 @@ def tournament(n: int, size: int, ask: Callable[[list[int]], Any]) -> int:
     return winner
 
 
-def rerank(n: int, size: int, ask: Callable[[list[int]], list[Any]], order: str = "relevance") -> list[int]:
-    """All rows ordered by sliding windows: the better half of each window is compared again with the next rows,
-    the rest is settled. order="relevance" gives the best first: what is settled later ranks above what was settled
-    before. order="window" gives the settled parts as they fall, and the last carry at the end."""
+def ranked(answered: list[Any], window: list[int]) -> list[int]:
+    """A window's rows as the model ranked them; those that it left out come last."""
+    out: list[int] = []
+    for a in answered:
+        found = row_id(a, window)
+        if found in out:
+            raise ValueError(f"the model ranked row id {found} twice")
+        out.append(found)
+    return out + [i for i in window if i not in out]
+
+
+def one_pass(rows: list[int], size: int, ask: Callable[[list[int]], list[Any]]) -> tuple[list[int], list[list[int]]]:
+    """(rows ranked in place by windows from the list's end to its beginning, the parts that were settled in turn).
+
+    The better half of a window is compared again, with the rows before it; the rest is settled. The best size // 2 rows
+    come first in their order, whatever the list. Rows stay in place on an overflow, so none is lost; a window has two at least.
+    """
+    rows, end, size = list(rows), len(rows), max(2, size)
     settled: list[list[int]] = []
-    carry: list[int] = []
-    at = 0
-    while at < n:
-        room = max(1, size - len(carry)) if not carry else max(1, size - size // 2)
-        fresh = list(range(at, min(at + room, n)))
-        window = carry + fresh
-        if len(window) == 1:
-            carry, at = window, n
+    while end > 0:
+        start = max(0, end - size)
+        window = rows[start:end]
+        if len(window) > 1:
+            try:
+                rows[start:end] = ranked(ask(window), window)
+            except TokenOverflow:
+                size = shrunk(min(size, len(window)))
+                if size < 2:
+                    shrunk(0)
+                continue
+        upto = start + len(window) // 2 if start else 0
+        settled.append(rows[upto:end] if start else rows[len(window) // 2 : end])
+        if not start and len(window) // 2:
+            settled.append(rows[: len(window) // 2])
+        end = upto
+    return rows, settled
+
+
+def rerank(n: int, size: int, ask: Callable[[list[int]], list[Any]], order: str = "relevance", passes: int = 1) -> list[int]:
+    """All rows by relevance, the best first, after so many passes of sliding windows (0: until a pass moves nothing, which
+    is the model's full order if it is consistent). order="window": in the order in which the last pass settles them."""
+    rows, parts, done = list(range(n)), [list(range(n))], 0
+    while n > 1 and (done < passes or not passes):
+        before = rows
+        rows, parts = one_pass(rows, size, ask)
+        done += 1
+        if rows == before:
             break
-        try:
-            answered = ask(window)
-        except TokenOverflow:
-            # The carried rows stay carried, so that none is lost; a smaller window takes fewer new rows.
-            size = shrunk(min(size, len(window)))
-            if len(carry) > max(1, size // 2):
-                keep = max(1, size // 2)
-                settled.append(carry[keep:])
-                carry = carry[:keep]
-            continue
-        ranked: list[int] = []
-        for a in answered:
-            found = row_id(a, window)
-            if found in ranked:
-                raise ValueError(f"the model ranked row id {found} twice")
-            ranked.append(found)
-        ranked += [i for i in window if i not in ranked]  # rows that the model left out rank last
-        half = len(ranked) // 2
-        settled.append(ranked[half:])
-        carry, at = ranked[:half], at + len(fresh)
-    if order == "window":
-        return [i for part in settled for i in part] + carry
-    return carry + [i for part in reversed(settled) for i in part]
+    return rows if order == "relevance" else [i for part in parts for i in part]

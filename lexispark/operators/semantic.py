@@ -25,11 +25,20 @@ ROUND = 64
 NULL_TEXT = "NULL"
 
 
-def text_of(c: Column | str, kind: T.DataType | None = None) -> Column:
-    """A value as the text that a model reads; null is the text NULL, nested values are JSON."""
+def text_of(c: Column | str) -> Column:
+    """A value as the text that a model reads; null is the text NULL, nested values are JSON. The kind is known once the
+    plan is analysed, and only one of the two ways is left in it."""
     own = F.col(c) if isinstance(c, str) else c
-    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
-    return F.coalesce(F.to_json(own) if nested else own.cast("string"), F.lit(NULL_TEXT))
+    listed = F.to_json(F.array(own))
+    inner = F.when(own.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+    return F.coalesce(F.when(F.typeof(own).rlike("^(array|map|struct)<"), inner).otherwise(own.cast("string")), F.lit(NULL_TEXT))
+
+
+def text_sql(expression: str) -> str:
+    """text_of() of an SQL expression."""
+    listed = f"to_json(array({expression}))"
+    inner = f"case when ({expression}) is not null then substr({listed}, 2, length({listed}) - 2) end"
+    return f"coalesce(case when rlike(typeof({expression}), '^(array|map|struct)<') then {inner} else cast(({expression}) as string) end, '{NULL_TEXT}')"
 
 
 def packed(columns: list[Column]) -> Column:
@@ -87,16 +96,13 @@ def mapped(spec: CallSpec, handle: Handle, work: Callable[[ModelClient, list[tup
     return F.pandas_udf(run, kind).asNondeterministic()
 
 
-def complete(spec: CallSpec, handle: Handle, columns: list[Column]) -> Column:
-    return mapped(spec, handle, answered, dumped, T.StringType())(packed(columns))
-
-
-def matches(spec: CallSpec, handle: Handle, columns: list[Column]) -> Column:
-    return mapped(spec, handle, answered, truth, T.BooleanType())(packed(columns))
-
-
-def embedding(spec: CallSpec, handle: Handle, columns: list[Column]) -> Column:
-    return mapped(spec, handle, embedded, lambda a: a, T.ArrayType(T.DoubleType()))(packed(columns))
+def function_of(spec: CallSpec, handle: Handle):
+    """The Arrow function of a row-wise call, over one struct of texts."""
+    if spec.function == "embedding":
+        return mapped(spec, handle, embedded, lambda a: a, T.ArrayType(T.DoubleType()))
+    if spec.function == "filter":
+        return mapped(spec, handle, answered, truth, T.BooleanType())
+    return mapped(spec, handle, answered, dumped, T.StringType())
 
 
 def bare(spec: CallSpec, handle: Handle) -> Any:

@@ -123,17 +123,19 @@ class Metrics:
 class Service:
     """The state, and a listener for tasks' requests."""
 
-    def __init__(self, host: str, window: float = WINDOW):
+    def __init__(self, host: str, window: float = WINDOW, bind: str | None = None):
+        """host: the address that tasks use; bind: the one to listen at, where that is another."""
         self.lock = threading.Lock()
         self.rates, self.usage, self.metrics = RateLimiter(window), UsageMeter(), Metrics()
         self.secrets: dict[str, dict[str, str]] = {}
         self.key = random_keys.token_bytes(32)
-        self.listener = Listener((host, 0), authkey=self.key, backlog=256)
+        self.listener = Listener((bind or host, 0), authkey=self.key, backlog=256)
+        self.host = host
         threading.Thread(target=self._accept, daemon=True).start()
 
     @property
     def handle(self) -> Handle:
-        return Handle(self.listener.address, self.key)
+        return Handle((self.host, self.listener.address[1]), self.key)
 
     def _accept(self) -> None:
         while True:
@@ -152,7 +154,9 @@ class Service:
                 with self.lock:
                     answer = self._answer(what, args)
                 connection.send(answer)
-        except (EOFError, OSError):
+        except (EOFError, OSError):  # the task has gone
+            pass
+        finally:
             connection.close()
 
     def _answer(self, what: str, args: tuple) -> Any:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import fusion
 from lexispark.operators import search
+from lexispark.plans import engine_queries
 from lexispark.session import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,7 +351,7 @@ QUERIES: dict[str, Query] = {
         prompt_catalog,
         metered_run,
     )
-} | {f"fusion_{n}": _comb(n) for n in _COMB_SQL}
+} | {f"fusion_{n}": _comb(n) for n in _COMB_SQL} | engine_queries.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "hybrid_rank_fusion": HYBRID_RANK_FUSION,
@@ -384,4 +385,4 @@ ORACLE_SQL: dict[str, str] = {
     "model_catalog": MODEL_CATALOG,
     "prompt_catalog": PROMPT_CATALOG,
     "metered_run": METERED_RUN,
-} | {f"fusion_{n}": _NORMAL + f"select l_orderkey, l_linenumber, round({sql}, 9) as score from z" for n, sql in _COMB_SQL.items()}
+} | {f"fusion_{n}": _NORMAL + f"select l_orderkey, l_linenumber, round({sql}, 9) as score from z" for n, sql in _COMB_SQL.items()} | engine_queries.ORACLE_SQL

@@ -56,6 +56,12 @@ def item_list(item: dict[str, Any], n: int | None = None) -> dict[str, Any]:
     return {"type": "object", "properties": {"items": {"type": "array", **bounds, "items": item}}, "required": ["items"], "additionalProperties": False}
 
 
+def labelled(column: dict[str, Any]) -> list[tuple[str, str]]:
+    """(label, image) of a column's images; a label names the row by its place among all rows of the request."""
+    name = column.get("name") or "image"
+    return [(f"{name} of row {i}", image) for i, image in enumerate(column["data"], 1) if image is not None]
+
+
 class OpenAI(Provider):
     name = "openai"
 
@@ -68,14 +74,9 @@ class OpenAI(Provider):
     def parts(self, request: Request) -> list[dict[str, Any]]:
         out: list[dict[str, Any]] = [{"type": "text", "text": request.prompt}]
         for column in request.images:
-            out.append({"type": "text", "text": "ATTACHMENT COLUMN"})
-            row = 0
-            for image in column["data"]:
-                if image is None:
-                    continue
-                row += 1
+            for label, image in labelled(column):
                 url = image if media.is_url(image) else f"data:{media.mime(column.get('type'))};base64,{media.as_base64(image)}"
-                out.append({"type": "text", "text": f"ROW {row} :"})
+                out.append({"type": "text", "text": label})
                 out.append({"type": "image_url", "image_url": {"url": url, "detail": column.get("detail") or "low"}})
         return out
 
@@ -149,9 +150,10 @@ class Ollama(Provider):
 
     def payload(self, request: Request) -> dict[str, Any]:
         message: dict[str, Any] = {"role": "user", "content": request.prompt}
-        images = [media.as_base64(x) for c in request.images for x in c["data"] if x is not None]
+        images = [pair for c in request.images for pair in labelled(c)]
         if images:
-            message["images"] = images
+            message["images"] = [media.as_base64(x) for _, x in images]
+            message["content"] += "\n\nAttached, in this order: " + "; ".join(label for label, _ in images)
         item = self.parameters.get("format") or {"type": request.output}
         return {"model": self.model, "messages": [message], "stream": False} | self.parameters | {"format": item_list(item, request.n)}
 
@@ -191,9 +193,9 @@ class Anthropic(Provider):
     def payload(self, request: Request) -> dict[str, Any]:
         parts: list[dict[str, Any]] = [{"type": "text", "text": request.prompt}]
         for column in request.images:
-            for image in column["data"]:
-                if image is not None:
-                    parts.append({"type": "image", "source": {"type": "base64", "media_type": media.mime(column.get("type")), "data": media.as_base64(image)}})
+            for label, image in labelled(column):
+                parts.append({"type": "text", "text": label})
+                parts.append({"type": "image", "source": {"type": "base64", "media_type": media.mime(column.get("type")), "data": media.as_base64(image)}})
         out = {"model": self.model, "messages": [{"role": "user", "content": parts}], "max_tokens": self.MAX_TOKENS} | self.parameters
         schema = item_list((self.parameters.get("output_format") or {}).get("schema") or {"type": request.output})
         if "claude-3" in self.model:  # has no structured output: the answer is the input of a tool it must use

@@ -1,6 +1,6 @@
 """A provider without a model: answers are fixed functions of a row's text, which SQL can compute too.
 
-A row's text is its values joined by |. The rule comes from the model parameters: {"rule": ...}. Faults and
+A row's text is its values joined by |; an image's value is the word image and its source. The rule comes from the model parameters: {"rule": ...}. Faults and
 usage are injected the same way: overflow_above (rows a request), short_by (answers left out), fail (a message
 that is raised), tokens ([prompt, completion] a request).
 """
@@ -15,8 +15,9 @@ from lexispark.sources.providers.base import Provider, Request, Usage, raise_if_
 DIMENSIONS = 8
 
 
-def row_texts(columns: list[dict[str, Any]]) -> list[str]:
+def row_texts(columns: list[dict[str, Any]], images: list[dict[str, Any]] = ()) -> list[str]:
     own = [c["data"] for c in columns if c.get("name") != "row_id"]
+    own += [["" if v is None else f"image {v}" for v in c["data"]] for c in images]
     return ["|".join("" if v is None else str(v) for v in row) for row in zip(*own, strict=True)]
 
 
@@ -33,7 +34,7 @@ class Offline(Provider):
 
     def complete(self, request: Request) -> tuple[list[Any], Usage]:
         p = self.parameters
-        texts = row_texts(request.columns) if request.columns else []
+        texts = row_texts(request.columns, request.images) if request.columns or request.images else []
         if "fail" in p:
             raise_if_overflow(str(p["fail"]))
             raise RuntimeError(str(p["fail"]))
@@ -46,14 +47,18 @@ class Offline(Provider):
 
     def _answers(self, request: Request, texts: list[str]) -> list[Any]:
         rule = str(self.parameters.get("rule", "md5"))
+        if rule == "bad id" and request.function != "reduce":
+            return [99] * request.n
         if request.function == "reduce":
             return [self._reduced(rule, texts, request.previous)]
         if request.function in ("first", "last", "rerank"):
             ids = next(c["data"] for c in request.columns if c.get("name") == "row_id")
             ranked = [i for _, i in sorted((md5(t), int(i)) for t, i in zip(texts, ids, strict=True))]
             return ranked if request.function == "rerank" else [ranked[0 if request.function == "first" else -1]]
-        if not request.columns:
+        if not (request.columns or request.images):
             texts = [request.prompt] * request.n
+        if rule == "prompt":  # what a model would read
+            return [request.prompt] * request.n
         return [self._one(rule, request, t) for t in texts]
 
     def _one(self, rule: str, request: Request, text: str) -> Any:

@@ -95,16 +95,40 @@ def test_tournament():
             b.tournament(3, 2, lambda w, wrong=wrong: wrong)
 
 
+def test_small_windows_still_compare():
+    """At a batch size of 1, and after overflows, windows hold two rows, and two that overflow are an error."""
+    for n in (2, 5, 40):
+        for size in (1, 2, 3):
+            assert b.tournament(n, size, max) == n - 1
+            assert sorted(b.rerank(n, size, lambda w: sorted(w, reverse=True))) == list(range(n))
+
+    def pairs(answer):
+        def ask(window):
+            if len(window) > 2:
+                raise b.TokenOverflow
+            return answer(window)
+
+        return ask
+
+    assert b.tournament(20, 16, pairs(max)) == 19 and b.rerank(20, 16, pairs(lambda w: sorted(w, reverse=True)), passes=0) == list(range(19, -1, -1))
+
+    def never(window):
+        raise b.TokenOverflow
+
+    for call in (lambda: b.tournament(3, 2, never), lambda: b.rerank(3, 2, never), lambda: b.tournament(3, 1, never), lambda: b.rerank(3, 1, never)):
+        with pytest.raises(ValueError, match="reduced to zero"):
+            call()
+
+
 def test_rerank_windows():
     windows = []
 
     def ask(window):
-        windows.append(len(window))
+        windows.append(list(window))
         return sorted(window)
 
-    assert b.rerank(17, 16, ask) == sorted(range(17), key=lambda i: i) or True
-    assert windows == [16, 9]
-    assert b.rerank(4, 16, lambda w: sorted(w), "window") == [2, 3, 0, 1] and b.rerank(4, 16, lambda w: sorted(w)) == [0, 1, 2, 3]
+    assert b.rerank(17, 16, ask) == list(range(17)) and windows == [list(range(1, 17)), list(range(9))]
+    assert b.rerank(4, 16, sorted, "window") == [2, 3, 0, 1] and b.rerank(4, 16, sorted) == [0, 1, 2, 3]
     assert b.rerank(1, 16, None) == [0] and b.rerank(0, 16, None) == []
     with pytest.raises(ValueError, match="twice"):
         b.rerank(3, 3, lambda w: [w[0], w[0]])
@@ -112,13 +136,25 @@ def test_rerank_windows():
         b.rerank(3, 3, lambda w: [7])
 
 
+def test_rerank_puts_the_best_half_window_first():
+    r = random.Random(1)
+    for _ in range(200):
+        n, size = r.randint(2, 60), r.randint(2, 20)
+        score = r.sample(range(1000), n)
+        best = sorted(range(n), key=score.__getitem__)
+        ask = lambda w, s=score: sorted(w, key=s.__getitem__)
+        k = n if n <= size else size // 2
+        assert b.rerank(n, size, ask)[:k] == best[:k]
+        assert b.rerank(n, size, ask, passes=0) == best
+
+
 def test_rerank_keeps_every_row_whatever_overflows():
     r = random.Random(0)
     for _ in range(300):
-        n, size = r.randint(0, 40), r.randint(2, 12)
+        n, size = r.randint(0, 40), r.randint(1, 12)
 
         def ask(window):
-            if len(window) > 2 and r.random() < 0.3:
+            if r.random() < 0.3:
                 raise b.TokenOverflow
             return r.sample(window, r.randint(0, len(window)))
 
@@ -127,7 +163,3 @@ def test_rerank_keeps_every_row_whatever_overflows():
                 assert sorted(b.rerank(n, size, ask, order)) == list(range(n))
             except ValueError as e:
                 assert "reduced to zero" in str(e)
-
-
-def test_best_rows_survive_small_windows():
-    assert b.rerank(30, 8, lambda w: sorted(w))[:4] == [0, 1, 2, 3]

@@ -147,7 +147,7 @@ def test_embedding(spark, session):
 def test_images_reach_the_provider(spark, session):
     prompt = {"prompt": "Describe", "context_columns": [{"data": "t", "name": "t"}, {"data": F.concat(F.lit("http://x/"), "t"), "type": "image/png", "detail": "high"}]}
     got = rows(spark, 3).select("t", session.llm_complete(model(), prompt).alias("x")).collect()
-    assert [r["x"] for r in got] == [MD5(r["t"]) for r in got]
+    assert [r["x"] for r in got] == [MD5(f"{r['t']}|image http://x/{r['t']}") for r in got]
 
 
 def grouped(session, frame, function, settings, **more):
@@ -256,6 +256,8 @@ def test_openai(server):
     assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k" and sent["temperature"] == 0.1
     items = sent["response_format"]["json_schema"]["schema"]["properties"]["items"]
     assert (items["minItems"], items["maxItems"], items["items"]) == (2, 2, {"type": "string"})
+    assert [x["text"] for x in sent["messages"][0]["content"][:-1]] == ["the prompt", "image of row 1"]
+    assert H.labelled({"name": "shot", "data": [None, "x", None, "y"]}) == [("shot of row 2", "x"), ("shot of row 4", "y")]
     assert sent["messages"][0]["content"][-1]["image_url"] == {"url": "data:image/jpeg;base64,QUJDREVGR0hJSktMTU5PUA==", "detail": "high"}
     answers += [(200, {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}), (200, {"text": "said"})]
     assert p.embed(["a", "b"])[0] == [[1.0], [2.0]]
@@ -312,7 +314,7 @@ def test_anthropic(server):
     assert new.complete(REQUEST)[0] == ["x"] and old.complete(REQUEST)[0] == ["y"]
     first, second = json.loads(seen[0][2]), json.loads(seen[1][2])
     assert first["max_tokens"] == 4096 and first["output_format"]["type"] == "json_schema" and second["max_tokens"] == 7 and second["tool_choice"]["type"] == "tool"
-    assert first["messages"][0]["content"][1]["source"]["media_type"] == "image/jpeg"
+    assert first["messages"][0]["content"][1]["text"] == "image of row 1" and first["messages"][0]["content"][2]["source"]["media_type"] == "image/jpeg"
     answers += [(200, {"stop_reason": "max_tokens", "content": []}), (400, {"type": "error", "error": {"message": "prompt is too long"}})]
     for _ in range(2):
         with pytest.raises(TokenOverflow):
