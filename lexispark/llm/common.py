@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than the six ASCII white spaces.
 #: ``bytes.split()`` without arguments cuts UTF-8 at exactly these characters.
@@ -29,23 +32,74 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+class Named:
+    """A table whose columns are called in_0, in_1, ..., so that an operator's own names cannot meet them; back() gives
+    the old names again. Columns that the operator adds replace those of the same name (in any case of letters)."""
+
+    def __init__(self, df: DataFrame, *added: str):
+        gone = {a.lower() for a in added}
+        self.names, self.types = df.columns, [f.dataType for f in df.schema]
+        self.df = df.toDF(*[f"in_{i}" for i in range(len(self.names))])
+        self.left = [i for i, c in enumerate(self.names) if c.lower() not in gone]
+
+    def at(self, name: str) -> str:
+        """The present name of a column: the first that is called so, or so in another case of letters."""
+        low = [c.lower() for c in self.names]
+        return f"in_{self.names.index(name) if name in self.names else low.index(name.lower())}"
+
+    def keep(self, names: list[str] | None, *but: str) -> Named:
+        """Only these columns are given back (None: all but some); added ones stay replaced."""
+        gone = {b.lower() for b in but}
+        if names is None:
+            self.left = [i for i in self.left if self.names[i].lower() not in gone]
+        else:
+            self.left = [i for i in (int(self.at(n)[3:]) for n in names) if i in self.left]
+        return self
+
+    @property
+    def inside(self) -> list[str]:
+        """Present names of the columns that are given back."""
+        return [f"in_{i}" for i in self.left]
+
+    def schema(self, *more: tuple[str, T.DataType], columns: list[str] | None = None) -> T.StructType:
+        """Of columns (those given back, unless named) and more."""
+        own = [(c, self.types[int(c[3:])]) for c in (self.inside if columns is None else columns)]
+        return T.StructType([T.StructField(n, k) for n, k in [*own, *more]])
+
+    def back(self, df: DataFrame, *more: Column | str) -> DataFrame:
+        return df.select(*[F.col(f"in_{i}").alias(self.names[i]) for i in self.left], *more)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all of a row's columns that can be hashed (maps cannot)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's checkpoint folder,
-    and a temporary one only where the session names none, as in tests."""
+    """The shared folder for intermediate tables: the session's checkpoint folder. Only in local mode, as in tests, a
+    temporary one stands in where the session names none; on a cluster its absence is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexispark-"))
     return sc.getCheckpointDir()
 
 
+#: Tables that cut() wrote and nobody deleted yet, by path; the innermost scope's last.
+_held: list[dict[str, DataFrame]] = [{}]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to a table in the shared folder and read back: what follows
-    neither recomputes it nor depends on an executor's local disk."""
+    """df, written to a table in the shared folder and read back: what follows neither recomputes it nor depends on an
+    executor's local disk. The table goes with drop_cut(), at the end of its scope(), or with the process."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
+    _held[-1][path] = out
     return out
 
 
@@ -53,9 +107,47 @@ def drop_cut(df: DataFrame) -> None:
     """Deletes a table that cut() wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        for held in _held:
+            held.pop(path, None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, what was cut inside it: what is to stay must be written by then."""
+    _held.append({})
+    try:
+        yield
+    finally:
+        own = _held.pop()
+        for df in own.values():
+            drop_cut(df)
+
+
+def _drop_all() -> None:
+    for held in _held:
+        for df in list(held.values()):
+            if df.sparkSession.sparkContext._jsc is not None:
+                with contextlib.suppress(Exception):  # the process ends, and the session may be gone
+                    drop_cut(df)
+
+
+atexit.register(_drop_all)
+
+#: Joins of less rows than FEW are plain; otherwise keys with more than one in MOST_HOT of all rows are hot.
+FEW, MOST_HOT = 200_000, 500
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined by key with known, which has one row a key and the number of rows of that key in the column size. A
+    hot key's rows are not gathered: there are MOST_HOT such keys at most, so that their rows of known are broadcast."""
+    if total < FEW:
+        return rows.join(known, key)
+    hot, rest = known.where(F.col(size) > total // MOST_HOT), known.where(F.col(size) <= total // MOST_HOT)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def pieces(batch, column: int, most_bytes: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import cut, pieces, table
+from lexispark.llm.common import Named, cut, pieces, row_key, spread_join, table
 from lexispark.llm.graph import connected_components, local_forest
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: A tile holds at least so many fingerprints, and there are about TILES tiles beyond that:
-#: what is shipped to tile pairs is then a constant number of bytes a fingerprint.
-TILE_LEAST, TILES = 2048, 96
-#: Comparisons that a task makes, about.
-TASK_WORK = 200_000_000
+#: Fingerprints of a tile, about: one in TILES of all, so that what is shipped is a constant number of bytes a fingerprint,
+#: but within these bounds, the upper one a few megabytes, beyond which the number of tiles grows.
+TILE_LEAST, TILE_MOST, TILES = 16_384, 1 << 20, 128
+#: Pairs of fingerprints of a task, about, and comparisons at a time.
+TASK_WORK, AT_ONCE = 400_000_000, 4_000_000
 #: The bits of each byte value, the lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -42,44 +41,70 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, th bigint, fp bigint) of every row; th is a hash of the text itself."""
+    """(id, th bigint, rk bigint, fp bigint) of every row; th is a hash of the text itself, rk one of the whole row."""
     import pyarrow as pa
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = Named(docs)
+    kind = own.types[int(own.at(id_col)[3:])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):
         for batch in batches:
-            fps = [fingerprint(x) for _, part in pieces(batch, 2) for x in part]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=[id_col, "th", "fp"])
-
-    return docs.select(id_col, F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, th bigint, fp bigint")
+            fps = [fingerprint(x) for _, part in pieces(batch, 3) for x in part]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64())], names=["id", "th", "rk", "fp"])
+
+    text = own.at(text_col)
+    rows = own.df.select(F.col(own.at(id_col)).alias("id"), F.xxhash64(text).alias("th"), row_key(own.df).alias("rk"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, T.StructType().add("id", kind).add("th", "long").add("rk", "long").add("fp", "long"))
+
+
+def _by_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, counts): x sorted into runs of equal population counts of its four 16-bit parts, where the runs
+    start (with the end), and each run's four counts."""
+    parts = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    code = ((parts[:, 0].astype(np.int32) * 17 + parts[:, 1]) * 17 + parts[:, 2]) * 17 + parts[:, 3]
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    return order, np.append(first, len(x)), parts[order[first]]
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: int):
+    """Index arrays (i, j) with x[i] and y[j] at most radius bits apart, by exclusive-or and bit counts. Within a pair of
+    tiles too, runs whose counts by parts differ by more than the radius in all are skipped."""
+    ox, sx, cx = _by_parts(x)
+    oy, sy, cy = _by_parts(y)
+    ys = y[oy]
+    for r in range(len(cx)):
+        runs = np.flatnonzero(np.abs(cy - cx[r]).sum(1) <= radius)
+        if not len(runs):
+            continue
+        lengths = sy[runs + 1] - sy[runs]
+        at = np.repeat(sy[runs] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        own, near = ox[sx[r] : sx[r + 1]], ys[at]
+        step = max(1, AT_ONCE // len(near))
+        for i in range(0, len(own), step):
+            a, b = np.nonzero(np.bitwise_count(x[own[i : i + step], None] ^ near[None, :]) <= radius)
+            if len(a):
+                yield own[a + i], oy[at[b]]
 
 
 def _tile_links(radius: int):
-    """Compares the fingerprints of two tiles in blocks and yields, for each that is linked,
-    the smallest fingerprint (by position) of its class within the pair: a star, not all pairs."""
+    """Compares the fingerprints of two tiles and yields, for each that is linked, the smallest fingerprint (by
+    position) of its class within the pair: a star, not all pairs."""
 
-    def run(batches):
+    def run(found):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["same"]
-                x = np.array(row["x"], np.int64).view(np.uint64)
-                y = x if same else np.array(row["y"], np.int64).view(np.uint64)
-                both = x if same else np.concatenate((x, y))
-                shift = 0 if same else len(x)
-                labels = np.arange(len(both))
-                step = max(1, 4_000_000 // max(1, len(y)))
-                for i in range(0, len(x), step):
-                    near = np.bitwise_count(x[i : i + step, None] ^ y[None, :]) <= radius
-                    a, b = np.nonzero(near)
-                    a, b = a + i, b + shift
-                    keep = labels[a] != labels[b]
-                    labels = local_forest(len(both), a[keep], b[keep], labels)
-                moved = np.nonzero(labels != np.arange(len(both)))[0]
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[moved].view(np.int64)), pa.array(both[labels[moved]].view(np.int64))], names=["a", "b"])
+        tiles = [np.asarray(found["fps"][i].values).view(np.uint64) for i in range(found.num_rows)]
+        x, y = tiles[0], tiles[-1]
+        both, shift = (x, 0) if len(tiles) == 1 else (np.concatenate((x, y)), len(x))
+        labels = np.arange(len(both))
+        for a, b in near_pairs(x, y, radius):
+            b = b + shift
+            apart = labels[a] != labels[b]
+            if apart.any():
+                labels = local_forest(len(both), a[apart], b[apart], labels)
+        moved = np.nonzero(labels != np.arange(len(both)))[0]
+        return pa.table({"a": pa.array(both[moved].view(np.int64)), "b": pa.array(both[labels[moved]].view(np.int64))})
 
     return run
 
@@ -90,55 +115,62 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Fingerprints are dealt to tiles by population count; two tiles are compared unless their counts
     differ by more than the radius, as every pair across them then differs in more bits than that.
-    The driver sees only the 65 sizes of the population counts.
+    A tile is sent once to each pair that it is in. The driver sees only the 65 sizes of the population counts.
     """
     spark = fps.sparkSession
     fps = fps.select("fp", F.bit_count("fp").alias("pop"))
     sizes = {r["pop"]: r["n"] for r in fps.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    most = max(TILE_LEAST, sum(sizes.values()) // TILES)
-    shards = {pop: -(-n // most) for pop, n in sizes.items()}
-    tiles = [(pop, k) for pop in sorted(shards) for k in range(shards[pop])]
-    if not tiles:
+    if not sizes:
         return spark.createDataFrame([], "a bigint, b bigint")
+    most = min(TILE_MOST, max(TILE_LEAST, sum(sizes.values()) // TILES))
+    shards = {pop: -(-n // most) for pop, n in sizes.items()}
     n_shards = F.create_map(*[F.lit(x) for pop in shards for x in (pop, shards[pop])])
+    tile = lambda pop, k: (F.lit(pop) if isinstance(pop, int) else pop).cast("bigint") * (1 << 40) + k
     packed = fps.withColumn("k", F.expr("pmod(xxhash64(fp), 1L << 40)") % n_shards[F.col("pop")]).groupBy("pop", "k").agg(F.collect_list("fp").alias("fps"))
-    found = [(*s, *t) for i, s in enumerate(tiles) for t in tiles[i:] if t[0] - s[0] <= radius]
-    pairs = spark.createDataFrame(found, "xpop int, xk bigint, ypop int, yk bigint")
-    work = sum(sizes[x[0]] * sizes[x[2]] / (shards[x[0]] * shards[x[2]]) for x in found)
-    left = packed.select(F.col("pop").alias("xpop"), F.col("k").alias("xk"), F.col("fps").alias("x"))
-    right = packed.select(F.col("pop").alias("ypop"), F.col("k").alias("yk"), F.col("fps").alias("y"))
-    same = F.expr("xpop = ypop and xk = yk")
-    both = pairs.join(left, ["xpop", "xk"]).join(right, ["ypop", "yk"])
-    jobs = both.select(same.alias("same"), "x", F.when(~same, F.col("y")).alias("y")).repartition(1 + min(len(found), int(work // TASK_WORK)))
-    return jobs.mapInArrow(_tile_links(radius), "a bigint, b bigint")
+    of_pop = lambda pop: F.transform(F.sequence(F.lit(0), F.lit(shards[pop] - 1)), lambda k: tile(pop, k))
+    met = [F.when(F.abs(F.col("pop") - pop) <= radius, of_pop(pop)) for pop in shards]
+    others = F.explode(F.flatten(F.filter(F.array(*met), lambda x: x.isNotNull())))
+    sent = packed.select(tile(F.col("pop"), F.col("k")).alias("t"), "fps", others.alias("u"))
+    work = sum(sizes[p] * sizes[q] for p in sizes for q in sizes if 0 <= q - p <= radius)
+    pairs = sent.select(F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "fps").repartition(1 + int(min(work // TASK_WORK, 100_000)), "x", "y")
+    return pairs.groupBy("x", "y").applyInArrow(_tile_links(radius), "a bigint, b bigint")
+
+
+def _near(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, id, th, rk, component, component_id) of every row."""
+    fps = cut(fingerprints(docs, id_col, text_col))
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    parts = connected_components(fingerprint_links(classes, radius))
+    known = cut(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")))
+    roots = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = spread_join(known, roots, "component", "m", known.count()).select("fp", "n", "component", "component_id")
+    return spread_join(fps, named, "fp", "n", fps.count()).drop("n")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, th, fp, component (a fingerprint that names the class) and
+    """One row per document: id_col, fp, component (a fingerprint that names the class) and
     component_id, the smallest id reachable over links of at most radius differing bits.
 
-    Null and empty texts have the fingerprint zero and link like others. Rows with equal ids stay
-    separate rows. A null id is never a component_id; a class of null ids alone has a null one.
+    Null and empty texts have the fingerprint zero and link like others; very long ones are read whole. Rows with equal
+    ids, and repeated rows, stay separate rows. A null id is never a component_id; a class of null ids alone has a null one.
+    Other columns of docs are ignored.
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    parts = connected_components(fingerprint_links(classes))
-    known = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(known.join(roots, "component").select("fp", "component", "component_id"), "fp")
+    return _near(docs, radius, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each class the row with its smallest id stays (a null id only
-    where all are null; among equal ids the smallest text hash, and one of identical rows)."""
-    found = near_duplicates(docs, radius, id_col, text_col)
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("x"))
-    first = first.select(F.coalesce(F.col("x.id").cast("string"), F.lit("")).alias("_name"), F.col("x.th").alias("_th")).distinct()
-    rows = docs.withColumns({"_name": named, "_th": F.xxhash64(text_col)})
-    return rows.join(first, ["_name", "_th"], "left_semi").dropDuplicates(["_name", "_th"]).select(*docs.columns)
+    where all are null; among equal ids the smallest hash of the text, then of the row; one of repeated rows)."""
+    own = Named(docs)
+    found = _near(docs, radius, id_col, text_col)
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), "th", "rk")
+    first = found.groupBy("component").agg(F.min(best).alias("x")).select(F.col("x.id").cast("string").alias("first_id"), F.col("x.th").alias("th"), F.col("x.rk").alias("rk")).distinct()
+    rows = own.df.withColumns({"th": F.xxhash64(own.at(text_col)), "rk": row_key(own.df), "own_id": F.coalesce(F.col(own.at(id_col)).cast("string"), F.lit(""))})
+    same = first.select(F.coalesce("first_id", F.lit("")).alias("own_id"), "th", "rk")
+    return own.back(rows.join(same, ["own_id", "th", "rk"], "left_semi").dropDuplicates(["own_id", "th", "rk"]))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, empty and repeated rows as in near_duplicates(); an empty table gives an empty one."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import forest, graph, simhash, substrings
+from lexispark.llm import common, forest, graph, simhash, substrings
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, fp string, kept_text int"
@@ -58,6 +58,48 @@ def test_simhash_tiles(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_near_pairs_skip_nothing():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 1 << 63, 60, np.uint64)
+    y = np.concatenate([x ^ (np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64)) for _ in range(3)] + [x])
+    for radius in (0, 2, 4, 20):
+        got = {p for i, j in simhash.near_pairs(x, y, radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == {(i, j) for i in range(len(x)) for j in range(len(y)) if (int(x[i]) ^ int(y[j])).bit_count() <= radius}
+
+
+def test_simhash_tiles_stay_small(spark, monkeypatch):
+    """Four times the fingerprints: more tiles, none of them larger than the bound."""
+    monkeypatch.setattr(simhash, "TILE_LEAST", 64)
+    monkeypatch.setattr(simhash, "TILE_MOST", 64)
+    seen = []
+    for n in (2000, 8000):
+        fps = np.random.default_rng(n).integers(0, 1 << 62, n).tolist()
+        monkeypatch.setattr(simhash, "_tile_links", lambda radius: lambda found: __import__("pyarrow").table({"a": [max(map(len, found["fps"].to_pylist()))], "b": [found.num_rows]}))
+        sizes = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp bigint")).collect()
+        seen.append((max(x["a"] for x in sizes), len(sizes)))
+    assert seen[0][0] < 2.5 * 64 and seen[1][0] < 2.5 * 64 and seen[1][1] > 3 * seen[0][1]
+
+
+def test_keep_first_chooses_the_same_row(spark):
+    """Rows of one id and text, apart in other columns only: reruns and other partitionings keep the same one."""
+    rows = spark.createDataFrame([(1, "a b c d e", f"x{i}", i) for i in range(30)], "doc_id bigint, text string, in_0 string, rk int")
+    kept = [simhash.keep_first(f).collect() for f in (rows, rows.orderBy("rk", ascending=False).repartition(5))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_spread_join(spark, monkeypatch, few):
+    """Hot keys, broadcast or not, give the same rows."""
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(common, "MOST_HOT", 4)
+    rows = spark.createDataFrame([(i % 7 if i > 300 else 1, i) for i in range(500)], "k int, v int")
+    known = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    got = common.spread_join(rows, known, "k", "n", 500)
+    assert got.count() == 500 and got.where("least > v").count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(0, i) for i in range(100, 200)], "a bigint, b bigint")
+    assert {r["component"] for r in graph.connected_components(chain).collect()} == {0}
+
+
 def test_simhash_edges(spark):
     empty = docs(spark, []).where("false")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
