@@ -177,6 +177,27 @@ def test_forest_recall(spark, monkeypatch):
     assert same >= 0.97 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("sparse", [1, 1 << 40])
+def test_forest_splits_fitted_leaves_further(spark, monkeypatch, sparse):
+    """With a sample too small for leaves of LEAF vectors, leaves stay as small, and recall stays; links are counted once
+    either way, whether near pairs are looked at one by one or all together."""
+    monkeypatch.setattr(forest, "LEAF", 60)
+    monkeypatch.setattr(forest, "FIT", 64)
+    monkeypatch.setattr(forest, "SPARSE", sparse)
+    x = vectors(700)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tree = forest.Tree.fit(u[:64], 16, np.random.default_rng(1), 4)
+    row, leaf = tree.leaves_of(u)
+    assert set(row) == set(range(len(u))) and leaf.max() < tree.leaves and len(tree.deeper) == 4
+    inside = np.bincount(leaf[(row > 0) & ((row < 900) | (row >= 1050))])  # all but the tight cluster
+    assert inside.max() < len(u) / 6
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_vectors(frame).collect()}
+    near = neighbours(x).sum(1)
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near).all() and found.sum() >= 0.95 * near.sum()
+
+
 def test_forest_edges(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [1.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0]), (9, [float("inf"), 0.0]), (10, [1e-300, 0.0]), (11, [0.0, 5.0])]
