@@ -27,6 +27,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def count_of(characters: str, c: Column) -> Column:
+    """How many of a text's characters are among these; null for a null text."""
+    return (F.length(c) - F.length(F.translate(c, characters, ""))).cast("bigint")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, whatever the optimizer collapses."""
     return F.transform(F.array(value), body)[0]
@@ -126,6 +131,13 @@ def scope() -> Iterator[None]:
             drop_cut(df)
 
 
+def release(df: DataFrame) -> DataFrame:
+    """df, a table of cut(), which now outlives the innermost scope()."""
+    if len(_held) > 1 and _held[-1].pop(df._scratch, None) is not None:  # type: ignore[attr-defined]
+        _held[-2][df._scratch] = df  # type: ignore[attr-defined]
+    return df
+
+
 def _drop_all() -> None:
     for held in _held:
         for df in list(held.values()):

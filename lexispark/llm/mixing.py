@@ -6,31 +6,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD, cut, table
+from lexispark.llm.common import WORD, Named, count_of, cut, drop_cut, let, table
 
 #: A source's words may be taken so many times at most.
 CAP = 3
 #: Source weights by rank of the source's name, repeating.
 WEIGHTS = (1, 2, 3)
-#: Ranges of the sampling key within a source: prefix sums run inside a range, on top of the ranges' sums.
-RANGES = 1024
-SYMBOLS = r"[#*$%&|<>]"
+#: Rows of a range of the sampling key within a source, about: prefix sums run inside a range, on top of the ranges' sums.
+RANGE_ROWS = 20_000
+SYMBOLS = "#*$%&|<>"
 
 
-def quality_weight(size: Column, text: Column) -> Column:
-    """In (0, 1]: falls with the symbols a word."""
-    symbols = F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0))
+def quality_weight(size: Column, symbols: Column) -> Column:
+    """In (0, 1]: falls with the symbols a word, as the quality rules count them."""
     return (1.0 + size) / (1.0 + size + 4.0 * symbols)
 
 
-def sampling_key(id_: Column, weight: Column) -> Column:
-    """Efraimidis and Spirakis: an exponential variate over the weight; smallest keys are drawn first.
-    The variate comes from the id's digest, so reruns and other partitionings draw alike."""
-    digest = F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 13)
+def sampling_key(id_: Column, text: Column, weight: Column) -> Column:
+    """Efraimidis and Spirakis: an exponential variate over the weight; smallest keys are drawn first. The variate comes
+    from the id's digest (the text's, where the id is null), so reruns and other partitionings draw alike."""
+    digest = F.substring(F.md5(F.coalesce(id_.cast("string"), text.cast("string"), F.lit("")).cast("binary")), 1, 13)
     uniform = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(uniform) / weight
 
 
+def drawn(id_: Column, text: Column) -> Column:
+    """(size, key) of a row as a struct, its text read once for each."""
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    counts = F.struct(size.alias("size"), F.coalesce(count_of(SYMBOLS, text), F.lit(0)).alias("symbols"))
+    return let(counts, lambda m: F.struct(m["size"].alias("size"), sampling_key(id_, text, quality_weight(m["size"], m["symbols"])).alias("key")))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """sources (sk, source, source_size) with target: all sizes shared out by weight, no target above
     CAP times its source's size. The excess always goes to the others by weight, so the result is
@@ -53,31 +59,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken, the words that it takes of the row: size times its whole epochs, and once more if the row is
     among the first by sampling key whose sizes come nearest to what is left of the target.
 
-    Columns of docs with these names are replaced. A null source is a source of its own, after all
-    others; a null text has size 0 and, like an empty one, is never taken; rows with equal or null ids
-    draw equal variates and stay separate rows.
+    Columns of docs with these names are replaced; any other names may occur. A null source is a source of its own, after
+    all others; a null text has size 0 and, like an empty one, is never taken; very long texts count whole. Rows with equal
+    ids, or null ids and equal texts, draw equal variates and stay separate rows; ties go by id, size and text. An empty
+    table gives an empty one. There is a row a source in one task, and none of documents.
     """
-    added = ["size", "source_size", "target", "taken"]
-    docs = docs.drop(*[c for c in docs.columns if c in added])
-    names = docs.columns
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.withColumn("size", size).withColumn("_sk", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
-    rows = rows.withColumn("_key", sampling_key(F.col(id_col), quality_weight(F.col("size"), F.col(text_col))))
-    rows = rows.withColumn("_range", F.floor(F.col("_key") / (F.col("_key") + 1.0) * RANGES).cast("int"))
-    ranges = cut(rows.groupBy(F.col("_sk").alias("sk"), F.col("_range").alias("range")).agg(F.sum("size").alias("n"), F.min(source_col).alias("source")))
+    own = Named(docs, "size", "source_size", "target", "taken")
+    id_, text, source = (F.col(own.at(c)) for c in (id_col, text_col, source_col))
+    octave = max(4, own.df.count() // (3 * RANGE_ROWS))  # ranges between a key and its double; three such hold most keys
+    rows = own.df.withColumns({"sk": F.coalesce(F.concat(F.lit("="), source), F.lit("")), "d": drawn(id_, text)})
+    rows = rows.withColumns({"size": F.col("d.size"), "key": F.col("d.key"), "range": F.coalesce(F.floor(F.log2("d.key") * octave), F.lit(0))}).drop("d")
+    ranges = cut(rows.groupBy("sk", "range").agg(F.sum("size").alias("n"), F.min(source).alias("source")))
     sources = targets(ranges.groupBy("sk").agg(F.min("source").alias("source"), F.sum("n").alias("source_size")))
     before = F.coalesce(F.sum("n").over(W.partitionBy("sk").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    known = ranges.select("sk", "range", before.alias("_base")).join(sources, "sk")
-    whole = rows.join(known, (F.col("_sk") == F.col("sk")) & (F.col("_range") == F.col("range")))
-    inside = W.partitionBy("_sk", "_range").orderBy("_key", id_col, "size", F.xxhash64(text_col)).rowsBetween(W.unboundedPreceding, -1)
+    known = cut(ranges.select("sk", "range", before.alias("base")).join(sources, "sk"))
+    drop_cut(ranges)
+    whole = rows.join(known, ["sk", "range"])
+    inside = W.partitionBy("sk", "range").orderBy("key", id_, "size", F.xxhash64(text)).rowsBetween(W.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    drawn = (F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2.0 <= left) & (F.col("size") > 0)
-    whole = whole.withColumn("_epochs", epochs).withColumn("taken", F.col("size") * (F.col("_epochs") + F.when(drawn, 1).otherwise(0)))
-    return whole.select(*names, "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+    left = F.col("target") - F.col("epochs") * F.col("source_size")
+    once_more = (F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2.0 <= left) & (F.col("size") > 0)
+    whole = whole.withColumn("epochs", epochs).withColumn("taken", F.col("size") * (F.col("epochs") + F.when(once_more, 1).otherwise(0)))
+    return own.back(whole, "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties and repeated rows as in mix()."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -86,9 +93,9 @@ def op8_sql(documents: str = "documents") -> str:
     return rf"""
     with d as (
       select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
-             len(regexp_extract_all(coalesce(text, ''), '{SYMBOLS}')) as symbols, text from {documents}),
+             len(regexp_extract_all(coalesce(text, ''), '[{SYMBOLS}]')) as symbols, text from {documents}),
     k as (
-      select *, -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint)::double + 0.5) / {float(1 << 52)})
+      select *, -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), text, '')), 1, 13) as bigint)::double + 0.5) / {float(1 << 52)})
                 / ((1.0::double + size) / (1.0::double + size + 4.0::double * symbols)) as key from d),
     s0 as (select source, sum(size)::bigint as source_size from k group by source),
     s1 as (select *, (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1 as w, source_size * {CAP} as cap from s0),
