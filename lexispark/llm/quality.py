@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD, cut, let, table
+from lexispark.llm.common import WORD, Named, count_of, cut, drop_cut, let, table
 
-WINDOW, SYMBOLS, SPACES = 5, r"[#*$%&|<>]", " \t\n\x0b\f\r"
+WINDOW, SYMBOLS, SPACES = 5, "#*$%&|<>", " \t\n\x0b\f\r"
 #: Base rules: fewest words, and most words in repeated windows, of a hundred.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: metric: (what is added to the fence, whether there is a lower fence too). Permille, and hundredths for lengths.
@@ -58,7 +58,7 @@ def measures(text: Column) -> Column:
             lambda kept: F.struct(
                 F.size(words).cast("bigint").alias("n_words"),
                 F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-                F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+                count_of(SYMBOLS, text).alias("n_symbols"),
                 F.size(kept).cast("bigint").alias("n_lines"),
                 (F.size(kept) - F.size(F.array_distinct(kept))).cast("bigint").alias("n_dup_lines"),
                 _repeated_words(words).cast("bigint").alias("n_repeat_words"),
@@ -130,25 +130,36 @@ def verdicts(rows: DataFrame, fences: DataFrame) -> DataFrame:
         fine &= F.coalesce(F.col(f"_v.{name}") <= F.col(f"{name}_most"), F.lit(True))
         if lower:
             fine &= F.coalesce(F.col(f"_v.{name}") >= F.col(f"{name}_least"), F.lit(True))
-    return joined.withColumn("kept", fine)
+    return joined.withColumn("kept", fine).drop(*[c for c in fences.columns if c not in ("_lk", "_sk")])
+
+
+ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs with the measures, base_failed and kept; columns of docs with these names are replaced.
+    """docs with the measures, base_failed and kept; columns of docs with these names are replaced, others may have any name.
 
-    Null and empty texts have no words and fail. Null languages and sources are groups of their own.
+    Texts are measured once, and the rows written with their measures, which both the sketches and the verdicts read. Null
+    and empty texts have no words and fail; very long ones are measured whole. Null languages and sources are groups of
+    their own. Rows are independent but for the fences: repeated ones get equal verdicts. An empty table gives an empty one.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
-    small = cut(measured(docs.select(text_col, lang_col, source_col), text_col, lang_col, source_col).select("_lk", "_sk", "base_failed", "_v"))
-    fences = cut(thresholds(sketch(small)))
-    return verdicts(measured(docs, text_col, lang_col, source_col), fences).select(*docs.columns, "_m.*", "base_failed", "kept")
+    own = Named(docs, *ADDED)
+    rows = cut(measured(own.df, own.at(text_col), own.at(lang_col), own.at(source_col)))
+    return own.back(verdicts(rows, _fences(rows)), "_m.*", "base_failed", "kept")
+
+
+def _fences(rows: DataFrame) -> DataFrame:
+    counted = cut(sketch(rows))
+    out = cut(thresholds(counted))
+    drop_cut(counted)
+    return out
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, empty texts and repeated rows as in judge(); the texts themselves are not written."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rows = cut(measured(docs, "text", "lang", "source").drop("text"))
-    out = verdicts(rows, cut(thresholds(sketch(rows))))
-    return out.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "base_failed", "kept")
+    return verdicts(rows, _fences(rows)).select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "base_failed", "kept")
 
 
 def op5_sql() -> str:
@@ -164,7 +175,7 @@ def op5_sql() -> str:
     rep as (select r, count(distinct p + k) as n from g2, range({WINDOW}) as q(k) group by r),
     m as (
       select r0.r, doc_id, lk, sk, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
-             len(regexp_extract_all(t, '{SYMBOLS}'))::bigint as n_symbols, len(ls) as n_lines,
+             len(regexp_extract_all(t, '[{SYMBOLS}]'))::bigint as n_symbols, len(ls) as n_lines,
              (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
       from r0 left join rep on r0.r = rep.r),
     b as (

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from lexispark.llm import bpe, langid, mixing, quality, scoring, urls, warc
+from pyspark.sql import functions as F
+
+from lexispark.llm import bpe, langid, mixing, quality, scoring, simhash, substrings, urls, warc
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words string, taken string"
@@ -56,6 +58,31 @@ def test_fences_follow_groups(spark):
     assert many.count("n_words") == 1 and "taken" in many
 
 
+CLASH = ("in_0", "_m", "_lk", "_sk", "_v", "symbols_most", "sk", "range", "key", "_base", "base", "d", "_marks", "_bytes", "_text", "t", "rk", "th", "own_id", "_row", "h", "id")
+
+
+@pytest.mark.parametrize("name", ["judge", "mix", "keep_first", "drop_repeats", "encode", "decode", "predict", "score"])
+def test_names_that_clash(spark, name):
+    """Columns with any names pass through unchanged."""
+    text = " ".join(f"word{i}" for i in range(20))
+    frame = docs(spark, [(1, text, "en", "a"), (2, text + " x", "en", None), (None, None, None, "b")])
+    frame = frame.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit(""))).alias(c) for c in CLASH])
+    out = {
+        "judge": lambda: quality.judge(frame),
+        "mix": lambda: mixing.mix(frame),
+        "keep_first": lambda: simhash.keep_first(frame),
+        "drop_repeats": lambda: substrings.drop_repeats(frame),
+        "encode": lambda: bpe.encode(frame, keep=frame.columns),
+        "decode": lambda: bpe.decode(bpe.encode(frame, keep=frame.columns)),
+        "predict": lambda: langid.predict(frame, langid.learn(frame), keep=frame.columns),
+        "score": lambda: scoring.score(frame, *scoring.fit(frame), keep=frame.columns),
+    }[name]()
+    got = out.collect()
+    assert len(got) == (2 if name == "keep_first" else 3) and set(CLASH) <= set(out.columns) and "text" in out.columns
+    for x in got:
+        assert all(x[c] == f"{c} {x['text'] or ''}" for c in CLASH)
+
+
 def test_sketches_merge(spark):
     frame = docs(spark, [(i, "word " * (10 + i % 7) + f"x{i} " * 3, "en", "ab"[i % 2]) for i in range(90)])
     whole = quality.sketch(quality.measured(frame, "text", "lang", "source"))
@@ -108,10 +135,24 @@ def test_mixing(spark):
 
 
 def test_sampling_prefers_quality(spark):
-    rows = [(i, "word " * 20 + ("# " * 20 if i % 2 else ""), None, "a" if i < 400 else "b") for i in range(404)]
+    rows = [(i, "word " * 20 + ("# " * 20 if i % 2 else "more " * 20), None, "a") for i in range(400)] + [(1000 + i, "word " * 40, None, "b") for i in range(400)]
     out = mixing.mix(docs(spark, rows)).where("source = 'a'").collect()
+    assert 0 < sum(x["taken"] > 0 for x in out) < 400
     taken = lambda odd: sum(x["taken"] > 0 for x in out if x["doc_id"] % 2 == odd)
-    assert taken(0) > 0
+    assert taken(0) > 1.5 * taken(1)  # a symbol every other word: a third of the weight
+
+
+def test_mixing_in_many_ranges(spark, monkeypatch):
+    """Small ranges give the same mix; ranges grow in number, not in size; null ids draw apart by their texts."""
+    r = random.Random(5)
+    rows = [(i if i % 3 else None, " ".join(f"w{r.random()}" for _ in range(r.randint(1, 12))), None, "ab"[i % 5 == 0]) for i in range(3000)]
+    frame = docs(spark, rows)
+    key = lambda f: sorted(repr((x["text"], x["target"], x["taken"])) for x in f.collect())
+    whole = key(mixing.mix(frame))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    assert key(mixing.mix(frame)) == whole
+    nulls = {x["taken"] > 0 for x in mixing.mix(frame).where("doc_id is null and source = 'a'").collect()}
+    assert nulls == {True, False}
 
 
 # subword encoding
