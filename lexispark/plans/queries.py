@@ -13,6 +13,7 @@ from lexispark.functions import fusion
 from lexispark.operators import search
 from lexispark.plans import engine_queries
 from lexispark.session import Session
+from lexispark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _sessions: weakref.WeakKeyDictionary[SparkSession, Session] = weakref.WeakKeyDictionary()
@@ -31,7 +32,7 @@ def session(spark: SparkSession) -> Session:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def _ask(*columns: str, **more: str) -> dict:
