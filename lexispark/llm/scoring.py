@@ -1,13 +1,14 @@
 """Masked pseudo-likelihood: a network predicts every token from its neighbours on both sides.
 
 Tokens are words: the commonest have ids of their own, all others share hashed ids. The network adds an
-embedding for each neighbour's id and place, squashes the sum and maps it to a distribution over ids. A word
-of a shared id has a probability among all words of that id too, from the counts of all words of the corpus. A
-text's score is the sum, over its tokens, of the log-probability of the token given its neighbours.
-
-Word counts cover the whole corpus, and so does training: every document is in one round, in shards that grow
-in number and not in size. Each shard's copy descends on its own, copies are averaged in groups, and the
-average starts the next round on the other documents.
+embedding for each neighbour's id and place and squashes the sum; from that it predicts the class of the token's
+id, and the id within its class, so that thousands of ids cost little more than their classes. A word of a shared
+id has a probability among all words of that id too, from the counts of all words of the corpus. A text's score
+is the sum, over its tokens, of the log-probability of the token given its neighbours.
+
+Word counts cover the whole corpus, and so does training: every document is in one round. In a round each
+partition of the input trains a copy of the network on its documents, where they lie; what the copies learned is
+averaged by their numbers of tokens, row by row of the parameters, and starts the next round.
 """
 
 from __future__ import annotations
@@ -17,26 +18,30 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import cut, drop_cut, pieces, table
+from lexispark.llm.common import Named, cut, pieces, row_key, table
 
-#: Ids: 0 stands beyond a text's ends, then OWN words, then HASHED shared ids.
-OWN, HASHED, WIDTH = 191, 64, 16
+#: Sizes of the classes of own words, by falling counts, and of shared ids: small where tokens are many.
+OWN_CLASSES, SHARED_CLASSES = (16,) * 4 + (32,) * 14 + (240,) * 30, (32,) * 16
+OWN, HASHED, WIDTH = sum(OWN_CLASSES), sum(SHARED_CLASSES), 16
+#: Ids: 0 stands beyond a text's ends, then the own words, then the shared ids. Class c has the ids FIRST[c] to FIRST[c + 1] - 1.
 IDS = 1 + OWN + HASHED
+FIRST = np.cumsum((1, *OWN_CLASSES, *SHARED_CLASSES))
+CLASS_OF = np.repeat(np.arange(len(FIRST)), np.diff(FIRST, prepend=0))  # of an id, plus one
 #: Places of the neighbours.
 PLACES = (-2, -1, 1, 2)
-#: Rounds that share all documents among them, documents a shard is meant to hold, targets a step, and its size.
-ROUNDS, SHARD, BATCH, RATE = 2, 250, 512, 0.1
+#: Rounds that share all documents among them, targets a step, its size, and targets that are scored at a time.
+ROUNDS, BATCH, RATE, BLOCK = 2, 1 << 14, 0.1, 1 << 16
 #: Words whose counts every worker holds; the counts of all others are joined, to the same scores.
-COMMON = 200_000
+COMMON = 300_000
 #: What each word, and all words unseen together, have besides their counts among the words of a shared id.
 EXTRA = 0.5
-#: Sums of logarithms are of whole multiples of 1 / FINE, so that their order does not tell.
+#: Sums of logarithms, and of what copies of the network learned, are of whole multiples of 1 / FINE, so that their order does not tell.
 FINE = 1 << 30
-#: Words that a worker counts before it hands counts on, and shared words whose id it keeps.
+LEARNED_FINE = 1 << 16
+#: Words that a worker counts before it hands counts on, and words besides the common ones whose id it keeps.
 MOST_WORDS = 300_000
-#: Models that one task averages at most.
-FAN_IN = 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -66,50 +71,72 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Known(dict):
+    """Words to places in the list ids; a word met for the first time gets a place and its shared id."""
+
+    def __init__(self, words: list[bytes], ids: np.ndarray):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.ids, self.fresh = ids.astype(np.int64), []
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = place = len(self.ids) + len(self.fresh)
+        self.fresh.append(1 + OWN + xxh64_intdigest(word, 0) % HASHED)
+        return place
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The words' places in ids."""
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.ids, self.fresh = np.concatenate((self.ids, self.fresh)), []
+        return out
+
+
 class Tokens:
-    """Words to ids."""
+    """Words to ids: own ones by place in the list, from 1 on, others by their hash."""
 
     def __init__(self, commonest: list[bytes]):
-        self.own = {w: 1 + i for i, w in enumerate(commonest)}
-        self.known = dict(self.own)
+        self.own, self.known = list(commonest), None
 
     def __getstate__(self):
         return self.own
 
     def __setstate__(self, own):
-        self.own, self.known = own, dict(own)
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        from xxhash import xxh64_intdigest
+        self.own, self.known = own, None
 
+    def ids(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > MOST_WORDS:
-            known = self.known = dict(self.own)
-        out = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = 1 + OWN + xxh64_intdigest(w, 0) % HASHED
-            out.append(i)
-        return out
+        if known is None or len(known) > len(self.own) + MOST_WORDS:
+            known = self.known = _Known(self.own, np.arange(1, 1 + len(self.own)))
+        places = known.places(words)
+        return known.ids[places]
+
+
+def examples(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(target ids, neighbours' ids by place) of texts of these lengths, whose ids follow each other in flat."""
+    pad = max(map(abs, PLACES))
+    wide = np.zeros(len(flat) + pad * (len(lengths) + 1), np.int64)
+    at = np.arange(len(flat)) + pad * (1 + np.repeat(np.arange(len(lengths)), lengths))
+    wide[at] = flat
+    return flat, np.stack([wide[at + p] for p in PLACES])
 
-    def examples(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(target ids, neighbours' ids by place, number of tokens of each text)."""
-        pad, flat, lengths = max(map(abs, PLACES)), [], []
-        for text in texts:
-            own = self.ids(words_of(text))
-            lengths.append(len(own))
-            flat += [0] * pad
-            flat += own
-        flat = np.array(flat + [0] * pad, np.int64)
-        at = np.nonzero(flat)[0]
-        return flat[at], np.stack([flat[at + p] for p in PLACES]), np.array(lengths, np.int64)
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    """Rows' log of the sum of exponentials, and z turned into probabilities in place."""
+    top = z.max(1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    z /= total[:, None]
+    return top + np.log(total.astype(np.float64))
 
 
 class Network:
-    """Parameters in one flat vector: an embedding table a place, the output table, the bias."""
+    """Parameters in one flat vector of rows of WIDTH: an embedding table a place, a row a class, a row an id, the biases."""
 
-    SHAPES = ((len(PLACES), IDS, WIDTH), (WIDTH, IDS), (IDS,))
+    SHAPES = ((len(PLACES), IDS, WIDTH), (len(FIRST) - 1, WIDTH), (IDS, WIDTH), (len(FIRST) - 1,), (IDS,))
+    SIZE = -(-sum(int(np.prod(s)) for s in SHAPES) // WIDTH) * WIDTH
 
     def __init__(self, flat: np.ndarray):
         self.flat, at, self.parts = flat.astype(np.float32), 0, []
@@ -120,228 +147,259 @@ class Network:
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
-        """Small fixed random tables, and the ids' frequencies as bias."""
+        """Small fixed random tables, and the frequencies of ids (counts, by id) and classes as biases."""
         rng = np.random.default_rng(11)
-        flat = np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) for s in cls.SHAPES])
-        flat[-IDS:] = np.log((counts + 1) / (counts + 1).sum())
-        return cls(flat)
+        flat = np.zeros(cls.SIZE)
+        tables = sum(int(np.prod(s)) for s in cls.SHAPES[:3])
+        flat[:tables] = rng.normal(0, 0.1, tables)
+        out = cls(flat)
+        counts = counts + 1.0
+        counts[0] = 0
+        by_class = np.add.reduceat(counts[1:], FIRST[:-1] - 1)
+        out.parts[3][:] = np.log(by_class / by_class.sum())
+        out.parts[4][1:] = np.log(counts[1:] / by_class[CLASS_OF[1:] - 1])
+        return out
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         table = self.parts[0]
-        return np.tanh(sum(table[k][near[k]] for k in range(len(PLACES))))
+        h = table[0][near[0]]
+        for k in range(1, len(PLACES)):
+            h += table[k][near[k]]
+        return np.tanh(h, out=h)
+
+    def _by_class(self, targets: np.ndarray):
+        """(class, places of the targets of that class) of each class met."""
+        own = (CLASS_OF[targets] - 1).astype(np.uint16)
+        order = np.argsort(own, kind="stable")
+        met = own[order]
+        first = np.flatnonzero(np.diff(met.astype(np.int64), prepend=-1))
+        return [(int(met[a]), order[a:b]) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
 
     def log_probabilities(self, targets: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Of each target given its neighbours."""
+        """Of each target given its neighbours: of its class, and of the target within that."""
+        _, tops, rows, top_bias, bias = self.parts
         out = np.empty(len(targets))
-        for i in range(0, len(targets), BATCH):
-            part = slice(i, i + BATCH)
-            logits = self.hidden(near[:, part]) @ self.parts[1]
-            logits += self.parts[2]
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(logits)), targets[part]].astype(np.float64)
-            out[part] = own - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        for i in range(0, len(targets), BLOCK):
+            part = slice(i, i + BLOCK)
+            t, h = targets[part], self.hidden(near[:, part])
+            z = h @ tops.T
+            z += top_bias
+            own = z[np.arange(len(t)), CLASS_OF[t] - 1].astype(np.float64)
+            own -= _log_softmax(z)
+            for c, at in self._by_class(t):
+                a, b = FIRST[c], FIRST[c + 1]
+                z = h[at] @ rows[a:b].T
+                z += bias[a:b]
+                inner = z[np.arange(len(at)), t[at] - a].astype(np.float64)
+                own[at] += inner - _log_softmax(z)
+            out[part] = own
         return out
 
-    def train(self, targets: np.ndarray, near: np.ndarray) -> Network:
-        """One pass of gradient descent with steps scaled by past gradients."""
-        table, output, bias = self.parts
-        past = [np.full(p.shape, 1e-3, np.float32) for p in self.parts]
+    def gradients(self, targets: np.ndarray, near: np.ndarray):
+        """Of the summed negative log-probability: yields (part, rows of it, gradient of these rows)."""
+        _, tops, rows, top_bias, bias = self.parts
+        h = self.hidden(near)
+        p = h @ tops.T
+        p += top_bias
+        _log_softmax(p)
+        p[np.arange(len(targets)), CLASS_OF[targets] - 1] -= 1
+        back = p @ tops
+        yield 1, slice(None), p.T @ h
+        yield 3, slice(None), p.sum(0)
+        for c, at in self._by_class(targets):
+            own, own_h = slice(FIRST[c], FIRST[c + 1]), h[at]
+            q = own_h @ rows[own].T
+            q += bias[own]
+            _log_softmax(q)
+            q[np.arange(len(at)), targets[at] - FIRST[c]] -= 1
+            back[at] += q @ rows[own]
+            yield 2, own, q.T @ own_h
+            yield 4, own, q.sum(0)
+        back *= 1 - h * h
+        for k in range(len(PLACES)):
+            ids = near[k].astype(np.uint16)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.diff(ids.astype(np.int64), prepend=-1))
+            yield 0, (k, ids[first].astype(np.int64)), np.add.reduceat(back[order], first, axis=0)
+
+    def train(self, targets: np.ndarray, near: np.ndarray, past: list[np.ndarray]) -> None:
+        """One pass of gradient descent with steps scaled by past gradients, whose squares past sums."""
         for i in range(0, len(targets), BATCH):
-            t, c = targets[i : i + BATCH], near[:, i : i + BATCH]
-            h = self.hidden(c)
-            p = h @ output
-            p += bias
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            p /= len(t)
-            back = (p @ output.T) * (1 - h * h)
-            steps = [np.zeros_like(table), h.T @ p, p.sum(0)]
-            flat = (c + IDS * np.arange(len(PLACES))[:, None]).ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.diff(flat, prepend=-1))
-            steps[0].reshape(-1, WIDTH)[flat[first]] = np.add.reduceat(back[order % len(t)], first, axis=0)
-            for part, step, seen in zip(self.parts, steps, past, strict=True):
-                seen += step * step
-                part -= RATE * step / np.sqrt(seen)
-        return self
-
-
-def _averaged(models: DataFrame, n: int) -> np.ndarray:
-    """The mean of models (shard, weight, flat), by groups of FAN_IN until one is left."""
-
-    def mean(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("shard")
-        w = frame["weight"].to_numpy()
-        flat = sum(np.frombuffer(x, np.float32).astype(np.float64) * k for x, k in zip(frame["flat"], w, strict=True)) / w.sum()
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0]) // FAN_IN], "weight": [float(w.sum())], "flat": [flat.astype(np.float32).tobytes()]})
-
-    while True:
-        models = models.groupBy(F.expr(f"shard div {FAN_IN}")).applyInPandas(mean, "shard bigint, weight double, flat binary")
-        n = -(-n // FAN_IN)
-        if n <= 1:
-            row = models.first()
-            return None if row is None else np.frombuffer(row["flat"], np.float32)
-
-
-def _descend(tokens: Tokens, flat: np.ndarray):
-    """Trains a copy of the network on one shard, in the order of its rows' keys."""
-
-    def run(key, found):
-        import pyarrow as pa
+            steps = list(self.gradients(targets[i : i + BATCH], near[:, i : i + BATCH]))
+            for part, at, step in steps:
+                seen = past[part][at] + step * step
+                past[part][at] = seen
+                step *= RATE
+                step /= np.sqrt(seen, out=seen)
+                self.parts[part][at] -= step
 
-        model, total = Network(flat.copy()), 0
-        for batch in found.sort_by("r").to_batches(max_chunksize=500):
-            for _, part in pieces(batch, 2):
-                targets, near, _ = tokens.examples(part)
-                model.train(targets, near)
-                total += len(targets)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "weight": pa.array([max(1.0, float(total))]), "flat": pa.array([model.flat.tobytes()], pa.binary())})
+    def past(self) -> list[np.ndarray]:
+        return [np.ones(s, np.float32) for s in self.SHAPES]
 
-    return run
 
-
-def deal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(r, t): every row whose text t is not null, with a key r that deals rows to rounds and shards. It is a hash of
-    the row's columns and of the number of rows like it that its task has met, so copies do not stay together."""
+def id_counts(counts: DataFrame, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, different words) of each id, from counts (word, n)."""
     import pyarrow as pa
 
     def run(batches):
-        from xxhash import xxh64_intdigest
+        for batch in batches:
+            ids = tokens.ids(batch.column(0).to_pylist())
+            n, kinds = np.bincount(ids, batch.column(1).to_numpy(), IDS).astype(np.int64), np.bincount(ids, minlength=IDS)
+            some = np.flatnonzero(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(kinds[some])], names=["id", "n", "kinds"])
+
+    n, kinds = np.zeros(IDS), np.zeros(IDS)
+    for r in counts.select("word", "n").mapInArrow(run, "id bigint, n bigint, kinds bigint").groupBy("id").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        n[r["id"]], kinds[r["id"]] = r["n"], r["kinds"]
+    return n, kinds
+
 
-        met: Counter = Counter()
+def _learned(tokens: Tokens, flat: np.ndarray):
+    """Trains a copy of the network on a partition's texts: rows (row, d0, ...) of parameters, what was added to each times
+    the number of tokens, in multiples of 1 / LEARNED_FINE; row -1 holds that number."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        model, total = Network(flat.copy()), 0
+        past, names = model.past(), ["row", *(f"d{k}" for k in range(WIDTH))]
         for batch in batches:
-            out = []
-            for r in batch.column(0).to_pylist():
-                n = met[r]
-                met[r] = n + 1
-                out.append(xxh64_intdigest(r.to_bytes(8, "little", signed=True), n) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(1)], names=["r", "t"])
-            if len(met) > MOST_WORDS:
-                met.clear()
+            for _, part in pieces(batch, 0, 2_000_000):
+                words = [words_of(t) for t in part]
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                targets, near = examples(tokens.ids([w for own in words for w in own]), lengths)
+                model.train(targets, near, past)
+                total += len(targets)
+        if total:
+            learned = (model.flat.astype(np.float64) - flat).reshape(-1, WIDTH)
+            some = np.flatnonzero((learned != 0).any(1))
+            scaled = np.rint(learned[some] * (total * float(LEARNED_FINE))).astype(np.int64)
+            head = np.zeros((1, WIDTH), np.int64)
+            head[0, 0] = total
+            rows, scaled = np.append(some, -1).astype(np.int32), np.concatenate((scaled, head))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.ascontiguousarray(scaled[:, k])) for k in range(WIDTH))], names=names)
 
-    key = F.xxhash64(text_col, *[c for c in docs.columns if c != text_col and "map<" not in docs.schema[c].dataType.simpleString()])
-    rows = docs.select(key.alias("r"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    return rows.mapInArrow(run, "r bigint, t binary")
+    return run
 
 
 def fit(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[Tokens, Network]:
-    """Ids from the counts of all words (count_words(), unless given), and a network trained on all documents."""
-    counted = cut(count_words(docs, text_col)) if counts is None else counts
-    top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    tokens = Tokens([w for w, _ in top])
-    if counts is None:
-        drop_cut(counted)
-    dealt = cut(deal(docs, text_col))
-    sizes = {x["k"]: x["n"] for x in dealt.groupBy(F.expr(f"pmod(r, {ROUNDS})").alias("k")).agg(F.count("*").alias("n")).collect()}
-    start = np.zeros(IDS)
-    start[1 : 1 + len(top)] = [n for _, n in top]
-    start[1 + OWN :] = max(1, start.sum() / IDS)
-    network = Network.start(start)
+    """Ids from the counts of all words (count_words(), unless given), and a network trained on all documents. The driver
+    sees the own words, a number an id, and sums of the parameters' rows: as much for any corpus."""
+    counted = count_words(docs, text_col) if counts is None else counts
+    tokens = Tokens([bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()])
+    network = Network.start(id_counts(counted, tokens)[0])
+    own = Named(docs)
+    rows = own.df.select(F.col(own.at(text_col)).cast("binary").alias("t"), F.pmod(row_key(own.df), F.lit(ROUNDS)).alias("turn")).where("t is not null")
+    sums = [F.sum(f"d{k}").alias(f"d{k}") for k in range(WIDTH)]
+    fields = "row int, " + ", ".join(f"d{k} bigint" for k in range(WIDTH))
     for turn in range(ROUNDS):
-        if not sizes.get(turn):
+        learned = rows.where(F.col("turn") == turn).select("t").mapInArrow(_learned(tokens, network.flat), fields)
+        found = learned.groupBy("row").agg(*sums).toArrow()
+        if not found.num_rows:
             continue
-        shards = -(-sizes[turn] // SHARD)
-        rows = dealt.where(f"pmod(r, {ROUNDS}) = {turn}").select(F.expr(f"pmod(shiftright(r, 8), {shards})").alias("shard"), "r", "t")
-        flat = _averaged(rows.groupBy("shard").applyInArrow(_descend(tokens, network.flat), "shard bigint, weight double, flat binary"), shards)
-        network = Network(flat)
-    drop_cut(dealt)
+        at = found["row"].to_numpy()
+        added = np.stack([found[f"d{k}"].to_numpy() for k in range(WIDTH)], 1)
+        total = added[at == -1][0, 0]
+        flat = network.flat.astype(np.float64).reshape(-1, WIDTH)
+        flat[at[at >= 0]] += added[at >= 0] / (float(total) * LEARNED_FINE)
+        network = Network(flat.ravel())
     return tokens, network
 
 
-def within(counts: DataFrame, tokens: Tokens) -> tuple[dict[bytes, float], np.ndarray]:
-    """(log(n + EXTRA) of the COMMON commonest words of shared ids at most, log of each id's total with all EXTRAs;
-    0 for words and ids of their own). A word's log-probability among its id's words is the difference."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            ids = np.array(tokens.ids(batch.column(0).to_pylist()), np.int64)
-            n = np.bincount(ids, batch.column(1).to_numpy(), IDS).astype(np.int64)
-            kinds = np.bincount(ids, minlength=IDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(IDS)), pa.array(n), pa.array(kinds)], names=["id", "n", "kinds"])
-
-    totals = np.zeros(IDS)
-    for row in counts.mapInArrow(run, "id bigint, n bigint, kinds bigint").groupBy("id").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        totals[row["id"]] = row["n"] + EXTRA * row["kinds"]
-    totals = np.log(totals + EXTRA)
+def within(counts: DataFrame, tokens: Tokens) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(the COMMON commonest words at most, log(n + EXTRA) of each, log of each id's total with all EXTRAs); the latter
+    are 0 for words and ids of their own. A word's log-probability among its id's words is the difference."""
+    n, kinds = id_counts(counts, tokens)
+    totals = np.log(n + EXTRA * kinds + EXTRA)
     totals[: 1 + OWN] = 0
     least, held = None, 0
-    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(COMMON).collect():
         held += row["words"]
         if held > COMMON + len(tokens.own):
             break
         least = row["n"]
-    common = {}
+    common = dict.fromkeys(tokens.own, 0.0)
     if least is not None:
-        found = counts.where(F.col("n") >= least).toArrow()
-        common = dict(zip(found["word"].to_pylist(), np.log(found["n"].to_numpy() + EXTRA).tolist(), strict=True))
-    return common | dict.fromkeys(tokens.own, 0.0), totals
+        found = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+        common = dict(zip(found["word"].to_pylist(), np.log(found["n"].to_numpy() + EXTRA).tolist(), strict=True)) | common
+    return list(common), np.array(list(common.values())), totals
 
 
 def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "text", keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Columns keep (all but the text, unless named) with n_tokens, log_likelihood (the sum over all tokens of the whole
-    text), mean_log_likelihood and perplexity; columns of docs with these names are replaced.
+    text), mean_log_likelihood and perplexity; columns of docs with these names are replaced, others may have any name.
 
     With counts (word, n), a table of count_words(), each word of a shared id adds its log-probability among all words of
     that id; without, the sum is over ids alone. A null text, or one without words, has no tokens, the sum 0, and null
-    mean and perplexity. Rows are independent.
+    mean and perplexity; very long texts are scored whole. Rows are independent: repeated ones score equally, and an
+    empty table gives an empty one.
     """
     import pyarrow as pa
 
-    added = ["n_tokens", "log_likelihood"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, *added, "mean_log_likelihood", "perplexity")]
+    added = ("n_tokens", "log_likelihood", "mean_log_likelihood", "perplexity")
+    own = Named(docs, *added).keep(keep, *([text_col] if keep is None else []))
+    inside = own.inside
     shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat, None if counts is None else within(counts, tokens)))
+    names = [*inside, "n_tokens", "log_likelihood", "rest"]
 
     def run(batches):
-        own, flat, inner = shared.value
+        from xxhash import xxh64_intdigest
+
+        own_tokens, flat, inner = shared.value
         model = Network(flat)
+        words, logs, totals = inner or (own_tokens.own, np.zeros(len(own_tokens.own)), np.zeros(IDS))
+        known = None
         for batch in batches:
-            for first, part in pieces(batch, len(keep), 2_000_000):
-                targets, near, lengths = own.examples(part)
-                sums = np.zeros(len(part))
+            for first, part in pieces(batch, len(inside), 2_000_000):
+                if known is None or len(known) > len(words) + MOST_WORDS:
+                    known = _Known(words, own_tokens.ids(words))
+                told = [words_of(t) for t in part]
+                lengths = np.fromiter(map(len, told), np.int64, len(told))
+                flat_words = [w for x in told for w in x]
+                places = known.places(flat_words)
+                targets, near = examples(known.ids[places], lengths)
+                sums, rest = np.zeros(len(part)), [None] * len(part)
                 if len(targets):
-                    some = lengths > 0
+                    some, starts = lengths > 0, np.cumsum(lengths) - lengths
                     each = model.log_probabilities(targets, near)
                     if inner:
-                        each -= inner[1][targets]
-                    sums[some] = np.add.reduceat(each, (np.cumsum(lengths) - lengths)[some])
-                rest = []
-                for i, text in enumerate(part if inner else []):
-                    words = words_of(text)
-                    found = list(map(inner[0].get, words))
-                    if None in found:
-                        rest.append([w for w, x in zip(words, found, strict=True) if x is None])
-                        found = [x for x in found if x is not None]
-                    else:
-                        rest.append(None)
-                    sums[i] += sum(found)
-                own_columns = [pa.array(lengths), pa.array(sums), *([pa.array(rest, pa.list_(pa.binary()))] if inner else [])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(keep))), *own_columns], names=[*keep, *added, *(["_rest"] if inner else [])])
-
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{fields}n_tokens bigint, log_likelihood double" + ("" if counts is None else ", _rest array<binary>"))
+                        each += np.append(logs, np.zeros(len(known.ids) - len(logs)))[places] - totals[targets]
+                        other = np.flatnonzero(places >= len(words))
+                        rows = np.searchsorted(np.cumsum(lengths), other, side="right")
+                        for i in np.unique(rows).tolist():
+                            rest[i] = [_signed(xxh64_intdigest(flat_words[k], 42)) for k in other[rows == i].tolist()]
+                    sums[some] = np.add.reduceat(each, starts[some])
+                columns = [*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), pa.array(lengths), pa.array(sums), pa.array(rest, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = own.schema(("n_tokens", T.LongType()), ("log_likelihood", T.DoubleType()), ("rest", T.ArrayType(T.LongType())))
+    out = own.df.select(*inside, F.col(own.at(text_col)).cast("binary").alias("t")).mapInArrow(run, schema)
     if counts is not None:
         out = _with_rest(out, counts)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return out.withColumn("mean_log_likelihood", mean).withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))
+    out = out.withColumn("mean_log_likelihood", mean).withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))
+    return own.back(out, *added)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _with_rest(scored: DataFrame, counts: DataFrame) -> DataFrame:
-    """scored, with log(n + EXTRA) of the words in _rest added to log_likelihood; a word without a count has n = 0."""
-    scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))
-    words = scored.select("_row", F.explode("_rest").alias("word"))
+    """scored, with log(n + EXTRA) of the words whose hashes are in rest added to log_likelihood; a word without a count
+    has n = 0."""
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    words = scored.where("rest is not null").select("row", F.explode("rest").alias("h"))
     term = F.round(F.log(F.coalesce("n", F.lit(0)) + EXTRA) * FINE).cast("bigint")
-    rest = words.join(counts, "word", "left").groupBy("_row").agg(F.sum(term).alias("_more"))
-    out = scored.drop("_rest").join(rest, "_row", "left")
-    return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("_more") / FINE, F.lit(0.0))).drop("_row", "_more")
+    known = counts.select(F.xxhash64("word").alias("h"), "n")
+    rest = words.join(known, "h", "left").groupBy("row").agg(F.sum(term).alias("more"))
+    out = scored.drop("rest").join(rest, "row", "left")
+    return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("more") / FINE, F.lit(0.0)))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, empty texts and repeated rows as in score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = cut(count_words(docs))
     return score(docs, *fit(docs, counts=counts), counts=counts)
