@@ -140,6 +140,25 @@ def test_substrings_edges(spark):
     assert got == [(-1, 20, 0), (1, 0, 0), (5, 20, 0), (5, 20, 0), (5, 22, 0), (7, 20, 20)]
 
 
+@pytest.mark.parametrize("hot", [2, 300])
+def test_maximal_repeats(spark, monkeypatch, hot):
+    """Each repeat stands where it says, and cannot be longer there; together they cover what is to be removed."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rows = corpus()
+    words = {d: brute.words(t) for d, t in rows}
+    covered = {}
+    found = substrings.maximal_repeats(docs(spark, rows)).collect()
+    for x in found:
+        own, other, n = words[x["doc_id"]], words[x["other"]], x["end"] - x["start"]
+        a, b = x["start"], x["other_start"]
+        assert n >= 13 and x["other"] < x["doc_id"] and own[a : a + n] == other[b : b + n]
+        covered.setdefault(x["doc_id"], set()).update(range(a, a + n))
+    assert {d: len(c) for d, c in covered.items()} == {d: v[1] for d, v in brute.without_repeats(rows).items() if v[1]}
+    assert max(x["end"] - x["start"] for x in found) >= 60
+    stretch = lambda *v: dict(zip(("starts", "at", "n", "other", "place"), v, strict=True))
+    assert substrings.joined([stretch([5], 0, 3, 1, 10), stretch([8], 0, 2, 1, 13), stretch([9], 1, 1, 1, 15), stretch([20], 0, 1, 1, 26)], 13) == [(5, 23, 1, 10), (20, 33, 1, 26)]
+
+
 def test_substrings_random(spark):
     r = random.Random(3)
     for width in (1, 2, 5):
