@@ -18,11 +18,13 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import pieces, table
+from lexispark.llm.common import Named, pieces, table
 
-#: Words whose encodings a worker keeps, and pairs whose test it keeps; it starts afresh beyond that.
-MOST_WORDS, MOST_PAIRS = 300_000, 1_000_000
+#: Characters of words and runs whose encodings a worker keeps (a short one counts as KEPT_LEAST), and pairs whose test it
+#: keeps; it starts afresh beyond that.
+MOST_KEPT, KEPT_LEAST, MOST_PAIRS = 12_000_000, 40, 1_000_000
 #: Characters of a word up to which states are found when asked for.
 DEEP = 100
 #: Characters by which the lengths of tokens are looked up, and those of the tokens that have no more.
@@ -74,6 +76,7 @@ class WordBpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}  # pieces
         self.runs: dict[str, bytes] = {}  # between white spaces
+        self.kept = 0
 
     def symbols_of(self, token: int) -> list[int]:
         name = self.names[token]
@@ -168,9 +171,10 @@ class WordBpe:
         No piece of a plain text crosses white space, so each distinct run between white spaces is split and
         encoded once; other texts are split as a whole.
         """
-        for kept in (self.known, self.runs):
-            if len(kept) >= MOST_WORDS:
-                kept.clear()
+        if self.kept > MOST_KEPT:
+            self.known.clear()
+            self.runs.clear()
+            self.kept = 0
         runs, known = self.runs, self.known
         plain = [None if self.odd.search(t) else t.split() for t in texts]
         fresh = {r: self.split(r) for p in plain if p is not None for r in set(p).difference(runs)}
@@ -178,6 +182,7 @@ class WordBpe:
         for name, i in self.specials.items():
             known[name] = np.array([i], "<u4").tobytes()
         missing = {w for pieces_ in (*fresh.values(), *whole) for w in pieces_ if w not in known}
+        self.kept += sum(max(KEPT_LEAST, len(w)) for kept in (fresh, missing) for w in kept)
         for w, tokens in self.encode_words(missing).items():
             known[w] = struct.pack(f"<{len(tokens)}I", *tokens)
         for r, pieces_ in fresh.items():
@@ -203,43 +208,46 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, kee
     """Columns keep (all but the text, unless named) with n_tokens and ids, the packed token ids of the whole text.
 
     path: of the vocabulary file on every machine; None: the installed public one. Columns of docs named
-    n_tokens or ids are replaced. A null text is encoded as an empty one, to no token. Rows are independent.
+    n_tokens or ids are replaced, others may have any name. A null text is encoded as an empty one, to no token; very long
+    texts are encoded whole. Rows are independent: repeated ones encode equally, and an empty table gives an empty one.
     """
     import pyarrow as pa
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "n_tokens", "ids")]
-    names = [*keep, "n_tokens", "ids"]
+    own = Named(docs, "n_tokens", "ids").keep(keep, *([text_col] if keep is None else []))
+    inside = own.inside
 
     def run(batches):
         model = model_at(path)
         for batch in batches:
-            for first, part in pieces(batch, len(keep), 2_000_000):
+            for first, part in pieces(batch, len(inside), 2_000_000):
                 ids = model.encode_batch([(x or b"").decode("utf-8", "replace") for x in part])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(keep))), counts, pa.array(ids, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), counts, pa.array(ids, pa.binary())], names=[*inside, "n_tokens", "ids"])
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{fields}n_tokens bigint, ids binary")
+    rows = own.df.select(*inside, F.col(own.at(text_col)).cast("binary").alias("t"))
+    return own.back(rows.mapInArrow(run, own.schema(("n_tokens", T.LongType()), ("ids", T.BinaryType()))), "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """encoded with the column decoded, the text of its packed ids; null ids decode to a null."""
+    """encoded with the column decoded, the text of its packed ids; null ids decode to a null. A column of that name is
+    replaced, others may have any name."""
     import pyarrow as pa
 
-    encoded = encoded.drop("decoded")
-    at, names = encoded.columns.index(ids_col), [*encoded.columns, "decoded"]
+    own = Named(encoded, "decoded")
+    inside = own.inside
 
     def run(batches):
         model = model_at(path)
         for batch in batches:
-            for first, part in pieces(batch, at, 2_000_000):
+            for first, part in pieces(batch, len(inside), 2_000_000):
                 texts = pa.array([None if x is None else model.decode(x) for x in part], pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in batch.columns), texts], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), texts], names=[*inside, "decoded"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}decoded string")
+    rows = own.df.select(*inside, F.col(own.at(ids_col)).alias("packed"))
+    return own.back(rows.mapInArrow(run, own.schema(("decoded", T.StringType()))), "decoded")
 
 
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, empty texts and repeated rows as in encode()."""
     out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
