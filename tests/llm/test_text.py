@@ -1,6 +1,13 @@
+import base64
+import gzip
 import hashlib
 import math
 import random
+import re
+import time
+import uuid
+import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -451,22 +458,128 @@ def test_warc_text_and_links(spark):
     assert warc.derivatives(pages.where("false")).count() == 0
 
 
+class Reader(HTMLParser):
+    """Plain text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.silent = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in warc.SILENT
+        self.out.append("\n" if tag in warc.BREAKS else "")
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append("\n" if tag in warc.BREAKS else "")
+
+    def handle_endtag(self, tag):
+        if tag in warc.SILENT:
+            self.silent -= 1
+            self.out.append(" ")
+        self.out.append("\n" if tag in warc.BREAKS else "")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        self.out.append("" if self.silent else data)
+
+
+def read_plainly(page):
+    r = Reader()
+    r.feed(page)
+    r.close()
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in "".join(r.out).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_warc_query_matches_brute_force(spark, sf):
+    """All records of all pages, from the standard library alone."""
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    urn = lambda *p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(p))}>"
+    got = {(x["page_id"], x["record_type"]): x for x in warc.op9_warc_derivatives(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == 3 * len(pages)
+    for page in pages:
+        body, uri = (page["html"] or "").encode(), page["url"] or ""
+        own = urn(uri, str(page["page_id"]), sha1(body))
+        response, meta, text = (got[page["page_id"], k] for k in ("response", "metadata", "conversion"))
+        assert response["record_id"] == own and response["content_length"] == len(body) + len("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: \r\n\r\n") + len(str(len(body)))
+        plain = read_plainly(page["html"] or "")
+        assert text["block"] == plain and text["record_id"] == urn(own, "conversion") and text["refers_to"] == meta["refers_to"] == own
+        assert {text["payload_digest"], meta["payload_digest"], response["payload_digest"]} == {sha1(body)}
+        assert text["block_digest"] == sha1(plain.encode()) and meta["block_digest"] == sha1(meta["block"].encode())
+        told = dict(x.split(": ", 1) for x in meta["block"].split("\r\n") if x)
+        assert told["text-digest"] == sha1(plain.encode()) and told["text-record-id"] == text["record_id"] and told["source-content-length"] == str(len(body))
+        assert all(x["target_uri"] == uri for x in (response, meta, text))
+
+
+@pytest.mark.parametrize("page", ["<!--" * 50_000, "<a " * 60_000, "<p" * 60_000, "<script>" * 30_000, "</script" * 30_000, "<" * 200_000, "&#" + "9" * 100_000 + ";", "<!-- x --" * 30_000, "<style>" + "</style " * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.monotonic()
+    warc.plain_text(page)
+    assert time.monotonic() - began < 1.0
+
+
+def test_plain_text_of_odd_pages():
+    assert warc.plain_text("a<!-- b") == "a" and warc.plain_text("a <b c") == "a <b c" and warc.plain_text("1 < 2 <3> x") == "1 < 2 <3> x"
+    assert warc.plain_text("x<script>y") == "x" and warc.plain_text("x<SCRIPT a>y</Script >z<br/>w&#x110000;&#99999999999;&amp;lt;") == "x z\nw\ufffd\ufffd&lt;"
+
+
+def raw_record(kind, block, length=None, more=""):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}>\r\nWARC-Target-URI: http://a\r\n{more}Content-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_warc_faults_and_marks_in_blocks():
+    inner = b"text WARC/1.1 and WARC/1.0\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc" * 3
+    data = b"junk" + raw_record("one", inner) + raw_record("bad", b"xy", "many") + raw_record("two", b"") + b"WARC/1.0\r\nWARC-Type: headless" + raw_record("three", b"z", more="X-Long: a\r\n  b\r\n") + raw_record("cut", b"abc", 99)
+    for form in (data, gzip.compress(data[:50]) + gzip.compress(data[50:])):
+        got = [(warc.named(f, "warc-type"), b, fault) for f, b, fault in warc.parse(form)]
+        assert [(k, x) for k, _, x in got] == [("one", None), ("bad", "no length"), ("two", None), (None, "no end of the head"), ("three", None), ("cut", "cut off")]
+        assert got[0][1] == inner and got[4][1] == b"z" and got[5][1].startswith(b"abc")
+    assert list(warc.parse(b"")) == [] and warc.fields_of("x\r\nA: 1\r\n b\r\nbad") == [("A", "1 b")]
+
+
+def test_bodies_are_decoded():
+    head = lambda *x: b"HTTP/1.1 200 OK\r\n" + "\r\n".join(x).encode() + b"\r\n\r\n"
+    text = "<p>caf\u00e9 na\u00efve</p>"
+    latin = head("Content-Type: text/html; charset=iso-8859-1") + text.encode("latin-1")
+    meta = head("Content-Type: text/html") + b"<meta charset='windows-1252'>" + text.encode("latin-1")
+    zipped = gzip.compress(text.encode())
+    chunks = b"".join(b"%x;q=1\r\n%s\r\n" % (len(zipped[i : i + 7]), zipped[i : i + 7]) for i in range(0, len(zipped), 7)) + b"0\r\n\r\n"
+    coded = head("Transfer-Encoding: chunked", "content-encoding: gzip") + chunks
+    raw = zlib.compressobj(wbits=-15)
+    deflated = head("Content-Encoding: deflate") + raw.compress(text.encode()) + raw.flush()
+    odd = head("Content-Type: text/html; charset=nothing-such") + text.encode()
+    for block in (latin, meta, coded, deflated, odd):
+        assert warc.derive("<x>", "u", warc.DATE, block)[1][5] == "caf\u00e9 na\u00efve".encode()
+    assert warc.unchunked(b"no chunks") == b"no chunks" and warc.unchunked(b"3\r\nabc\r\nzz\r\n") == b"abczz\r\n"
+    broken = head("Content-Encoding: gzip") + b"not gzip"
+    assert warc.derive("<x>", "u", warc.DATE, broken)[1][5] == b"not gzip"
+
+
 def test_warc_files(spark, tmp_path):
-    """Responses written to a file, read, derived, written and read again."""
-    body = warc.http_response(PAGE.encode())
+    """Responses written to files, read, derived, written and read again, blocks of any bytes whole."""
+    body = warc.http_response(PAGE.encode()) + bytes(range(256)) + b" WARC/1.1\r\n end"
     own = warc.record_id("x")
-    raw = warc.record("warcinfo", warc.record_id("i"), "", warc.DATE, "application/warc-fields", b"a: b\r\n\r\nWARC/1.1 no\r\n") + warc.record("response", own, "http://a\r\nX: y", "2020-01-01T00:00:00Z", "application/http", body, payload=warc.digest(PAGE.encode()))
+    raw = warc.record("warcinfo", warc.record_id("i"), "", warc.DATE, "application/warc-fields", b"a: b\r\n\r\nWARC/1.1 no\r\n") + warc.record("response", own, "http://a\r\nX: y", "2020-01-01T00:00:00Z", "application/http", body, payload="sha1:GIVEN")
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.warc").write_bytes(raw)
+    (tmp_path / "in/b.warc.gz").write_bytes(gzip.compress(raw_record("resource", b"r")) + gzip.compress(raw_record("response", b"cut", 10_000)))
+    (tmp_path / "in/c.warc").write_bytes(b"")
     records = warc.read(spark, str(tmp_path / "in"))
-    assert [(r["record_type"], bytes(r["block"]) == body) for r in records.collect()] == [("warcinfo", False), ("response", True)]
+    found = {x["record_type"] + (x["fault"] or ""): bytes(x["block"]) for x in records.collect()}
+    assert found["response"] == body and found["resource"] == b"r" and set(found) == {"warcinfo", "response", "responsecut off", "resource"}
     derived = warc.derive_records(records)
-    assert {r["record_type"]: (r["refers_to"], r["target_uri"], r["warc_date"]) for r in derived.collect()} == {k: (own, "http://a X: y", "2020-01-01T00:00:00Z") for k in ("metadata", "conversion")}
-    warc.write(derived, str(tmp_path / "out"))
-    (tmp_path / "back").mkdir()
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    (tmp_path / "back/b.warc.gz").write_bytes(warc.decode_part(text))
-    back = warc.read(spark, str(tmp_path / "back"))
-    key = lambda f: sorted((r["record_type"], r["record_id"], r["refers_to"], bytes(r["block"])) for r in f.collect())
-    assert key(back) == key(derived)
-    assert hashlib.sha1(PAGE.encode()).digest()
+    got = {r["record_type"]: r for r in derived.collect()}
+    assert {k: (r["refers_to"], r["target_uri"], r["warc_date"], r["payload_digest"]) for k, r in got.items()} == {k: (own, "http://a X: y", "2020-01-01T00:00:00Z", "sha1:GIVEN") for k in ("metadata", "conversion")}
+    told = bytes(got["metadata"]["block"]).decode()
+    assert "source-warc-warc-payload-digest: sha1:GIVEN\r\n" in told and "source-warc-content-type: application/http\r\n" in told and "source-http-content-type: text/html; charset=utf-8\r\n" in told
+    everything = records.where("fault is null").unionByName(derived)
+    warc.write(everything, str(tmp_path / "out"))
+    parts = list((tmp_path / "out").glob("part-*.gz"))
+    assert parts and all(gzip.decompress(p.read_bytes())[:9] in (b"WARC/1.1\r", b"") for p in parts)
+    back = warc.read(spark, str(tmp_path / "out"))
+    key = lambda f: sorted(repr((r["record_type"], r["record_id"], r["refers_to"], r["payload_digest"], bytes(r["block"]), r["fault"])) for r in f.collect())
+    assert key(back) == key(everything)
+    assert warc.derive_records(records.where("false")).count() == 0
