@@ -16,13 +16,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import pieces, table
+from lexispark.llm.common import Named, cut, drop_cut, pieces, table
 
 ORDER = 3
 #: A language learns from so many texts at most, those with the smallest hashes, and in that order
 #: from whole texts until so many bytes are reached.
 LEARN_TEXTS, LEARN_BYTES = 400, 2_000_000
+#: Texts that pass the bound on hashes, to those that are wanted: more than the error of the approximate count.
+SPARE = 2
 #: Contexts seen less often are left out of the trees.
 LEAST_SEEN = 2
 #: Up to so many languages' bounds are broadcast (16 bytes each); more are joined by a shuffle.
@@ -134,36 +137,49 @@ def code_lengths(texts: list[bytes], trees: list[Tree]) -> np.ndarray:
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Tree]:
     """Trees by language, from the rows of labelled whose text and language are not null: of each language a
-    bounded sample of its distinct texts (LEARN_TEXTS, LEARN_BYTES), the same for every partitioning."""
+    bounded sample of its distinct texts (LEARN_TEXTS, LEARN_BYTES), the same for every partitioning.
+
+    A language's approximate number of distinct texts gives a bound on their hashes that about SPARE times as many pass as
+    are wanted, and only these are ranked: what meets in a task does not grow with the corpus.
+    """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text <> ''")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    ranked = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= LEARN_TEXTS)
-    bounds = ranked.groupBy("lang").agg(F.max("h").alias("most"))
+    share = SPARE * LEARN_TEXTS / F.approx_count_distinct("h")
+    bounds = cut(rows.groupBy("lang").agg(F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise(((2 * share - 1) * float(1 << 63)).cast("bigint")).alias("most")))
     few = bounds.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    sample = rows.join(F.broadcast(bounds) if few else bounds, "lang").where("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = cut(rows.join(F.broadcast(bounds) if few else bounds, "lang").where("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text")))
+    drop_cut(bounds)
+    order = W.partitionBy("lang").orderBy("h")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = found.select("lang", "h", F.row_number().over(order).alias("r"), before.alias("bytes")).where((F.col("r") <= LEARN_TEXTS) & (F.col("bytes") < LEARN_BYTES))
+    sample = found.join(kept.select("lang", "h"), ["lang", "h"])
 
     def fit(key, frame):
         import pandas as pd
 
         texts = [t.encode() for t in frame.sort_values("h")["text"]]
-        enough = int(np.searchsorted(np.cumsum([len(t) for t in texts]), LEARN_BYTES)) + 1
-        return pd.DataFrame({"lang": [key[0]], "tree": [pickle.dumps(Tree.learn(texts[:enough]))]})
+        return pd.DataFrame({"lang": [key[0]], "tree": [pickle.dumps(Tree.learn(texts))]})
 
-    found = sample.select("lang", "h", "text").groupBy("lang").applyInPandas(fit, "lang string, tree binary").collect()
-    return {r["lang"]: pickle.loads(r["tree"]) for r in sorted(found, key=lambda r: r["lang"])}
+    trees = sample.select("lang", "h", "text").groupBy("lang").applyInPandas(fit, "lang string, tree binary").collect()
+    drop_cut(found)
+    return {r["lang"]: pickle.loads(r["tree"]) for r in sorted(trees, key=lambda r: r["lang"])}
 
 
 def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns keep (all but the text, unless named) with lang_pred and score, the winner's share of the
-    languages' probabilities of the text; columns of docs with these names are replaced.
-
-    A text that is null or has no letter is undetermined, as is every text if no language was learned; its
-    score is 0. Among equally short codes the first language by name wins.
+    """Columns keep (all but the text, unless named) with lang_pred and score; columns of docs with these names are
+    replaced, others may have any name.
+
+    score is the winner's share of the languages' probabilities of a byte of the text (their mean by code lengths): 1 over
+    the number of languages where none fits better, near 1 where all others need many bits more a byte. A text that is null
+    or has no letter is undetermined, as is every text if no language was learned; its score is 0. Among equally short codes
+    the first language by name wins. Texts are judged whole and one by one, so repeated rows get equal answers; an empty
+    table gives an empty one.
     """
     import pyarrow as pa
 
     added = ("lang_pred", "score")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, *added)]
+    own = Named(docs, *added).keep(keep, *([text_col] if keep is None else []))
+    inside = own.inside
     shared = docs.sparkSession.sparkContext.broadcast((list(trees), list(trees.values())))
 
     def judge(texts: list[bytes | None]) -> tuple[list[str], list[float]]:
@@ -173,19 +189,20 @@ def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", kee
         if told:
             bits = code_lengths([texts[i] for i in told], models)
             best = bits.argmin(1)
-            share = 1 / np.exp2(bits.min(1)[:, None] - bits).sum(1)
+            each = np.array([len(texts[i]) for i in told])[:, None]
+            share = 1 / np.exp2((bits.min(1)[:, None] - bits) / each).sum(1)
             for i, b, s in zip(told, best.tolist(), share.tolist(), strict=True):
                 out[i], scores[i] = langs[b], s
         return out, scores
 
     def run(batches):
         for batch in batches:
-            for first, part in pieces(batch, len(keep)):
+            for first, part in pieces(batch, len(inside)):
                 langs, scores = judge(part)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *added])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*inside, *added])
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"{fields}lang_pred string, score double")
+    rows = own.df.select(*inside, F.col(own.at(text_col)).cast("binary").alias("t"))
+    return own.back(rows.mapInArrow(run, own.schema(("lang_pred", T.StringType()), ("score", T.DoubleType()))), *added)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import ascii_lower, table
+from lexispark.llm.common import Named, ascii_lower, pieces, table
 
 #: (host/path prefix, verdict).
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -97,30 +98,33 @@ def learn(labelled: DataFrame) -> Model:
 
 
 def judge(pages: DataFrame, model: Model, url_col: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """pages with host, path, rule, verdict and block_score, the model's chance; columns with these names are
-    replaced. A null URL, or one without ://, has an empty host and path, which no rule fits."""
+    """pages with host, path, rule, verdict and block_score, the model's chance; columns with these names are replaced,
+    others may have any name. A null URL, or one without ://, has an empty host and path, which no rule fits. URLs of any
+    length are read whole and one by one: repeated rows get equal verdicts, and an empty table gives an empty one."""
     import pyarrow as pa
 
     added = ["host", "path", "rule", "verdict", "block_score"]
-    url = F.col(url_col)
-    keep = [c for c in pages.columns if c not in added]
-    rows = pages.select(*keep, host(url).alias("host"), path(url).alias("path"))
+    own = Named(pages, *added)
+    url, inside = F.col(own.at(url_col)), own.inside
+    rows = own.df.select(*inside, host(url).alias("host"), path(url).alias("path"))
     found = rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": found[0], "verdict": found[1]})
-    at = rows.columns.index("host")
+    rows = rows.withColumns({"rule": found[0], "verdict": found[1]}).withColumn("both", F.concat("host", "path").cast("binary"))
+    n = len(inside)
 
     def run(batches):
         for batch in batches:
-            chance = model.chance(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], names=[*batch.schema.names, "block_score"])
+            for first, part in pieces(batch, n + 4, 500_000):
+                columns = [c.slice(first, len(part)) for c in batch.columns[: n + 4]]
+                chance = model.chance(columns[n].to_pylist(), columns[n + 1].to_pylist())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(chance, pa.float64())], names=[*inside, *added])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
-    out = rows.mapInArrow(run, f"{fields}block_score double")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow")))
+    out = rows.mapInArrow(run, own.schema(*[(c, T.StringType()) for c in added[:4]], ("block_score", T.DoubleType())))
+    verdict = F.coalesce("verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return own.back(out, "host", "path", "rule", verdict.alias("verdict"), "block_score")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled table is a bounded sample of the URLs that the rules decide."""
+    """The labelled table is a bounded sample of the URLs that the rules decide. Nulls and ties as in judge()."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     own = pages.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     labelled = own.withColumn("verdict", rule(F.col("host"), F.col("path"))[1]).where("verdict is not null")

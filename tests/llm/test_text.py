@@ -68,13 +68,14 @@ def test_fences_follow_groups(spark):
 CLASH = ("in_0", "_m", "_lk", "_sk", "_v", "symbols_most", "sk", "range", "key", "_base", "base", "d", "_marks", "_bytes", "_text", "t", "rk", "th", "own_id", "_row", "h", "id")
 
 
-@pytest.mark.parametrize("name", ["judge", "mix", "keep_first", "drop_repeats", "encode", "decode", "predict", "score"])
+@pytest.mark.parametrize("name", ["urls", "judge", "mix", "keep_first", "drop_repeats", "encode", "decode", "predict", "score"])
 def test_names_that_clash(spark, name):
     """Columns with any names pass through unchanged."""
     text = " ".join(f"word{i}" for i in range(20))
     frame = docs(spark, [(1, text, "en", "a"), (2, text + " x", "en", None), (None, None, None, "b")])
     frame = frame.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit(""))).alias(c) for c in CLASH])
     out = {
+        "urls": lambda: urls.judge(frame, urls.Model(), "text"),
         "judge": lambda: quality.judge(frame),
         "mix": lambda: mixing.mix(frame),
         "keep_first": lambda: simhash.keep_first(frame),
@@ -241,6 +242,33 @@ def test_code_lengths_match_brute_force():
     assert got == pytest.approx([plain_bits(learned, t) for t in told])
 
 
+def test_language_predictions_match_brute_force(spark):
+    """Whole documents: the language of the shortest code, byte by byte, ties and repeated rows as well."""
+    learned = {"de": ["der hund und die katze", "ein haus und noch ein haus"], "en": ["the dog and the cat", "a house and another house"], "fr": ["le chien et le chat", "une maison"]}
+    told = ["die katze", "the house", "le chat et la maison", "dog dog", "xyz", "zz the der", "the house", "\u00e9\u00e9\u00e9"]
+    frame = docs(spark, [(i, t, g, None) for i, (g, t) in enumerate((g, t) for g, ts in learned.items() for t in ts)])
+    got = langid.predict(docs(spark, [(i, t, None, None) for i, t in enumerate(told)]), langid.learn(frame)).collect()
+    for x in got:
+        text = told[x["doc_id"]].encode()
+        order = [t.encode() for t in learned]
+        bits = {g: plain_bits([t.encode() for t in learned[g]], text) for g in learned}
+        assert x["lang_pred"] == min(sorted(bits), key=bits.get) and len(order) == 3
+        assert x["score"] == pytest.approx(1 / sum(2 ** ((min(bits.values()) - b) / len(text)) for b in bits.values()))
+    same = langid.predict(docs(spark, [(1, "the", None, None)] * 3), {g: langid.Tree.learn([b"x y"]) for g in ("b", "a")} | {}).collect()
+    assert {(x["lang_pred"], x["score"]) for x in same} == {("b", 0.5)}
+
+
+def test_learning_is_bounded(spark, monkeypatch):
+    """Texts, then bytes; the smallest hashes, whatever the partitioning, and however often a text occurs."""
+    monkeypatch.setattr(langid, "LEARN_TEXTS", 20)
+    monkeypatch.setattr(langid, "LEARN_BYTES", 150)
+    rows = [(i, f"text number {i % 300}", "en", None) for i in range(900)] + [(i, "one text", "en", None) for i in range(2000)] + [(5, "long " * 1000, "de", None), (6, "short", "de", None)]
+    a, b = langid.learn(docs(spark, rows)), langid.learn(docs(spark, rows[::-1]).repartition(6))
+    for g in ("en", "de"):
+        assert all(np.array_equal(x, y) for x, y in zip(a[g].pairs + a[g].counts, b[g].pairs + b[g].counts, strict=True))
+    assert 150 - 20 <= a["en"].totals[0].sum() <= 150 + 20 and a["de"].totals[0].sum() in (5, 5000, 5005)
+
+
 def test_language_held_out(spark, sf):
     found = langid.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert len(found) > 30 and np.mean([x["lang"] == x["lang_pred"] for x in found]) >= 0.95
