@@ -59,3 +59,48 @@ def without_repeats(rows, width=13):
                 gone.update(range(i, i + width))
         out[d] = (len(ws), len(gone), [w for i, w in enumerate(ws) if i not in gone])
     return out
+
+
+def measures(text):
+    """(words, their characters, symbols, lines with a word, those equal to an earlier one, words in repeated windows)."""
+    ws, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    seen = {}
+    for i in range(len(ws) - 4):
+        seen.setdefault(tuple(ws[i : i + 5]), []).append(i)
+    repeated = len({i + k for at in seen.values() if len(at) > 1 for i in at for k in range(5)})
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), len(lines) - len(set(lines)), repeated
+
+
+def quality(rows):
+    """doc_id -> (base_failed, kept) of (doc_id, text, lang, source): fences at three quartile distances of the groups' values,
+    which count by their five leading bits; small groups use their language's values, and small languages none."""
+    least, slack = 30, {"symbols": 200, "dup_lines": 400, "word_length": 150}
+    known, groups = {}, {}
+    for d, t, lang, source in rows:
+        n, chars, symbols, lines, dup, rep = measures(t)
+        failed = n < 10 or 100 * rep > 20 * n
+        values = {"symbols": 1000 * symbols // max(n, 1), "dup_lines": 1000 * dup // max(lines, 1), "word_length": 100 * chars // max(n, 1)}
+        known[d] = (failed, values, lang, source)
+        if not failed:
+            for key in ((lang, source), (lang,)):
+                groups.setdefault(key, []).append(values)
+
+    def fence(lang, source, metric):
+        own = groups.get((lang, source), [])
+        own = own if len(own) >= least or not own else groups.get((lang,), [])
+        if len(own) < least:
+            return None
+        short = lambda v: v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0)
+        ordered = sorted(short(v[metric]) for v in own)
+        q1, q3 = (next(x for i, x in enumerate(ordered) if 4 * (i + 1) >= q * len(ordered)) for q in (1, 3))
+        return q1 - 3 * (q3 - q1) - slack[metric], q3 + 3 * (q3 - q1) + slack[metric]
+
+    out = {}
+    for d, (failed, values, lang, source) in known.items():
+        fine = not failed
+        for metric, v in values.items():
+            bounds = fence(lang, source, metric)
+            if fine and bounds:
+                fine = v <= bounds[1] and (metric != "word_length" or v >= bounds[0])
+        out[d] = (failed, fine)
+    return out
