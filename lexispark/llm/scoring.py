@@ -14,6 +14,7 @@ averaged by their numbers of tokens, row by row of the parameters, and starts th
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ CLASS_OF = np.repeat(np.arange(len(FIRST)), np.diff(FIRST, prepend=0))  # of an
 PLACES = (-2, -1, 1, 2)
 #: Rounds that share all documents among them, targets a step, its size, and targets that are scored at a time.
 ROUNDS, BATCH, RATE, BLOCK = 2, 1 << 14, 0.1, 1 << 16
+#: Logits within these bounds are raised as they are.
+FAR = 40
 #: Words whose counts every worker holds; the counts of all others are joined, to the same scores.
 COMMON = 300_000
 #: What each word, and all words unseen together, have besides their counts among the words of a shared id.
@@ -122,14 +125,16 @@ def examples(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat, np.stack([wide[at + p] for p in PLACES])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    """Rows' log of the sum of exponentials, and z turned into probabilities in place."""
-    top = z.max(1)
-    z -= top[:, None]
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z's exponentials, in its place, but for a factor a row; the rows' sums; the logs of the true sums)."""
+    shift = None
+    if z.size and (z.max() > FAR or z.min() < -FAR):
+        shift = z.max(1)
+        z -= shift[:, None]
     np.exp(z, out=z)
-    total = z.sum(1)
-    z /= total[:, None]
-    return top + np.log(total.astype(np.float64))
+    total = z @ np.ones(z.shape[1], np.float32)
+    logs = np.log(total.astype(np.float64))
+    return z, total, logs if shift is None else logs + shift
 
 
 class Network:
@@ -167,53 +172,58 @@ class Network:
             h += table[k][near[k]]
         return np.tanh(h, out=h)
 
-    def _by_class(self, targets: np.ndarray):
-        """(class, places of the targets of that class) of each class met."""
+    @staticmethod
+    def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(order of targets by class, classes in that order, (class, first, end) of each class met)."""
         own = (CLASS_OF[targets] - 1).astype(np.uint16)
         order = np.argsort(own, kind="stable")
-        met = own[order]
-        first = np.flatnonzero(np.diff(met.astype(np.int64), prepend=-1))
-        return [(int(met[a]), order[a:b]) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
+        met = own[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(met, prepend=-1)).tolist()
+        return order, met, [(int(met[a]), a, b) for a, b in zip(first, [*first[1:], len(met)], strict=True)]
 
     def log_probabilities(self, targets: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Of each target given its neighbours: of its class, and of the target within that."""
         _, tops, rows, top_bias, bias = self.parts
         out = np.empty(len(targets))
         for i in range(0, len(targets), BLOCK):
-            part = slice(i, i + BLOCK)
-            t, h = targets[part], self.hidden(near[:, part])
+            order, classes, runs = self._by_class(targets[i : i + BLOCK])
+            order += i
+            t, h = targets[order], self.hidden(near[:, order])
             z = h @ tops.T
             z += top_bias
-            own = z[np.arange(len(t)), CLASS_OF[t] - 1].astype(np.float64)
-            own -= _log_softmax(z)
-            for c, at in self._by_class(t):
-                a, b = FIRST[c], FIRST[c + 1]
-                z = h[at] @ rows[a:b].T
-                z += bias[a:b]
-                inner = z[np.arange(len(at)), t[at] - a].astype(np.float64)
-                own[at] += inner - _log_softmax(z)
-            out[part] = own
+            own = z[np.arange(len(t)), classes].astype(np.float64)
+            own -= _exponentials(z)[2]
+            for c, a, b in runs:
+                z = h[a:b] @ rows[FIRST[c] : FIRST[c + 1]].T
+                z += bias[FIRST[c] : FIRST[c + 1]]
+                own[a:b] += z[np.arange(b - a), t[a:b] - FIRST[c]].astype(np.float64)
+                own[a:b] -= _exponentials(z)[2]
+            out[order] = own
         return out
 
     def gradients(self, targets: np.ndarray, near: np.ndarray):
         """Of the summed negative log-probability: yields (part, rows of it, gradient of these rows)."""
         _, tops, rows, top_bias, bias = self.parts
+        order, classes, runs = self._by_class(targets)
+        targets, near = targets[order], near[:, order]
         h = self.hidden(near)
         p = h @ tops.T
         p += top_bias
-        _log_softmax(p)
-        p[np.arange(len(targets)), CLASS_OF[targets] - 1] -= 1
+        p, total, _ = _exponentials(p)
+        p *= (1 / total)[:, None]
+        p[np.arange(len(targets)), classes] -= 1
         back = p @ tops
         yield 1, slice(None), p.T @ h
         yield 3, slice(None), p.sum(0)
-        for c, at in self._by_class(targets):
-            own, own_h = slice(FIRST[c], FIRST[c + 1]), h[at]
-            q = own_h @ rows[own].T
+        for c, a, b in runs:
+            own = slice(FIRST[c], FIRST[c + 1])
+            q = h[a:b] @ rows[own].T
             q += bias[own]
-            _log_softmax(q)
-            q[np.arange(len(at)), targets[at] - FIRST[c]] -= 1
-            back[at] += q @ rows[own]
-            yield 2, own, q.T @ own_h
+            q, total, _ = _exponentials(q)
+            q *= (1 / total)[:, None]
+            q[np.arange(b - a), targets[a:b] - FIRST[c]] -= 1
+            back[a:b] += q @ rows[own]
+            yield 2, own, q.T @ h[a:b]
             yield 4, own, q.sum(0)
         back *= 1 - h * h
         for k in range(len(PLACES)):
@@ -268,7 +278,7 @@ def _learned(tokens: Tokens, flat: np.ndarray):
             for _, part in pieces(batch, 0, 2_000_000):
                 words = [words_of(t) for t in part]
                 lengths = np.fromiter(map(len, words), np.int64, len(words))
-                targets, near = examples(tokens.ids([w for own in words for w in own]), lengths)
+                targets, near = examples(tokens.ids(list(chain.from_iterable(words))), lengths)
                 model.train(targets, near, past)
                 total += len(targets)
         if total:
@@ -356,7 +366,7 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
                     known = _Known(words, own_tokens.ids(words))
                 told = [words_of(t) for t in part]
                 lengths = np.fromiter(map(len, told), np.int64, len(told))
-                flat_words = [w for x in told for w in x]
+                flat_words = list(chain.from_iterable(told))
                 places = known.places(flat_words)
                 targets, near = examples(known.ids[places], lengths)
                 sums, rest = np.zeros(len(part)), [None] * len(part)
@@ -366,9 +376,10 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
                     if inner:
                         each += np.append(logs, np.zeros(len(known.ids) - len(logs)))[places] - totals[targets]
                         other = np.flatnonzero(places >= len(words))
-                        rows = np.searchsorted(np.cumsum(lengths), other, side="right")
-                        for i in np.unique(rows).tolist():
-                            rest[i] = [_signed(xxh64_intdigest(flat_words[k], 42)) for k in other[rows == i].tolist()]
+                        hashes = [_signed(xxh64_intdigest(flat_words[k], 42)) for k in other.tolist()]
+                        ends = np.searchsorted(other, np.cumsum(lengths))
+                        for i in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                            rest[i] = hashes[ends[i - 1] if i else 0 : ends[i]]
                     sums[some] = np.add.reduceat(each, starts[some])
                 columns = [*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), pa.array(lengths), pa.array(sums), pa.array(rest, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
