@@ -167,9 +167,9 @@ class Network:
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         table = self.parts[0]
-        h = table[0][near[0]]
+        h = table[0].take(near[0], 0, mode="clip")
         for k in range(1, len(PLACES)):
-            h += table[k][near[k]]
+            h += table[k].take(near[k], 0, mode="clip")
         return np.tanh(h, out=h)
 
     @staticmethod
@@ -214,7 +214,7 @@ class Network:
         p[np.arange(len(targets)), classes] -= 1
         back = p @ tops
         yield 1, slice(None), p.T @ h
-        yield 3, slice(None), p.sum(0)
+        yield 3, slice(None), np.ones(len(p), np.float32) @ p
         for c, a, b in runs:
             own = slice(FIRST[c], FIRST[c + 1])
             q = h[a:b] @ rows[own].T
@@ -224,25 +224,23 @@ class Network:
             q[np.arange(b - a), targets[a:b] - FIRST[c]] -= 1
             back[a:b] += q @ rows[own]
             yield 2, own, q.T @ h[a:b]
-            yield 4, own, q.sum(0)
-        back *= 1 - h * h
+            yield 4, own, np.ones(b - a, np.float32) @ q
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        columns = np.ascontiguousarray(back.T)
         for k in range(len(PLACES)):
-            ids = near[k].astype(np.uint16)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            first = np.flatnonzero(np.diff(ids.astype(np.int64), prepend=-1))
-            yield 0, (k, ids[first].astype(np.int64)), np.add.reduceat(back[order], first, axis=0)
+            own = near[k]
+            yield 0, k, np.stack([np.bincount(own, c, IDS) for c in columns], 1).astype(np.float32)
 
     def train(self, targets: np.ndarray, near: np.ndarray, past: list[np.ndarray]) -> None:
         """One pass of gradient descent with steps scaled by past gradients, whose squares past sums."""
         for i in range(0, len(targets), BATCH):
-            steps = list(self.gradients(targets[i : i + BATCH], near[:, i : i + BATCH]))
-            for part, at, step in steps:
-                seen = past[part][at] + step * step
-                past[part][at] = seen
+            for part, at, step in list(self.gradients(targets[i : i + BATCH], near[:, i : i + BATCH])):
+                seen, own = past[part][at], self.parts[part][at]  # views
+                seen += step * step
                 step *= RATE
-                step /= np.sqrt(seen, out=seen)
-                self.parts[part][at] -= step
+                step /= np.sqrt(seen)
+                own -= step
 
     def past(self) -> list[np.ndarray]:
         return [np.ones(s, np.float32) for s in self.SHAPES]
@@ -336,6 +334,20 @@ def within(counts: DataFrame, tokens: Tokens) -> tuple[list[bytes], np.ndarray,
     return list(common), np.array(list(common.values())), totals
 
 
+class _Shared:
+    """What workers score with; a worker's words are put in place once and kept over its tasks."""
+
+    def __init__(self, tokens: Tokens, flat: np.ndarray, inner: tuple | None):
+        self.flat, self.counted, self.own = flat, inner is not None, None
+        self.words, self.logs, self.totals = inner or (tokens.own, np.zeros(len(tokens.own)), np.zeros(IDS))
+        self.ids = tokens.ids(self.words)
+
+    def known(self) -> _Known:
+        if self.own is None or len(self.own) > len(self.words) + MOST_WORDS:
+            self.own = _Known(self.words, self.ids)
+        return self.own
+
+
 def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "text", keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Columns keep (all but the text, unless named) with n_tokens, log_likelihood (the sum over all tokens of the whole
     text), mean_log_likelihood and perplexity; columns of docs with these names are replaced, others may have any name.
@@ -350,20 +362,17 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
     added = ("n_tokens", "log_likelihood", "mean_log_likelihood", "perplexity")
     own = Named(docs, *added).keep(keep, *([text_col] if keep is None else []))
     inside = own.inside
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat, None if counts is None else within(counts, tokens)))
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(tokens, network.flat, None if counts is None else within(counts, tokens)))
     names = [*inside, "n_tokens", "log_likelihood", "rest"]
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        own_tokens, flat, inner = shared.value
-        model = Network(flat)
-        words, logs, totals = inner or (own_tokens.own, np.zeros(len(own_tokens.own)), np.zeros(IDS))
-        known = None
+        held = shared.value
+        model, inner, logs, totals = Network(held.flat), held.counted, held.logs, held.totals
         for batch in batches:
             for first, part in pieces(batch, len(inside), 2_000_000):
-                if known is None or len(known) > len(words) + MOST_WORDS:
-                    known = _Known(words, own_tokens.ids(words))
+                known = held.known()
                 told = [words_of(t) for t in part]
                 lengths = np.fromiter(map(len, told), np.int64, len(told))
                 flat_words = list(chain.from_iterable(told))
@@ -375,7 +384,7 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
                     each = model.log_probabilities(targets, near)
                     if inner:
                         each += np.append(logs, np.zeros(len(known.ids) - len(logs)))[places] - totals[targets]
-                        other = np.flatnonzero(places >= len(words))
+                        other = np.flatnonzero(places >= len(logs))
                         hashes = [_signed(xxh64_intdigest(flat_words[k], 42)) for k in other.tolist()]
                         ends = np.searchsorted(other, np.cumsum(lengths))
                         for i in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
