@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, mixing, quality, simhash, substrings
-from lexispark.llm.common import Named, cut, drop_cut, release, scope, table
+from lexispark.llm.common import Named, cut, drop_cut, release, scope, steps, table
 
 
+@steps
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor their group's fences reject. Null, empty and short texts go; null languages
     and sources are groups of their own; repeated rows stay or go together; columns may have any other names."""
@@ -17,12 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return own.back(quality.judge(own.df, text, lang, source).where("kept"))
 
 
+@steps
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of SimHash near-duplicates; null and empty texts are one class, and of equal ids
     one row stays, as simhash.keep_first() says."""
     return simhash.keep_first(docs)
 
 
+@steps
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has; an untouched text stays as it is, a null one null, and
     rows of null or equal ids lose nothing to each other."""
@@ -32,6 +35,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return own.back(out.withColumns({c: F.when(changed, new).otherwise(F.col(c)) for c, new in cleaned.items()}))
 
 
+@steps
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; those without words go, and a null source is one of its own."""
     own = Named(docs)
@@ -40,6 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return own.back(out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))))
 
 
+@steps
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of token ids and decoded text, of every copy; a null text is encoded as an empty one."""
     own = Named(docs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -140,6 +141,41 @@ def release(df: DataFrame) -> DataFrame:
     return df
 
 
+def reads(df: DataFrame, scratch: DataFrame) -> bool:
+    """Whether df's plan reads a table of cut()."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        said = leaf.toString()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            said += leaf.relation().location().rootPaths().toString()
+        if scratch._scratch.rsplit("/", 1)[-1] in said:  # type: ignore[attr-defined]
+            return True
+    return False
+
+
+#: What steps() cut and left, in the order of the steps.
+_left: list[DataFrame] = []
+
+
+def steps(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A step of a pipeline whose steps' results are written before the next one is called: what earlier steps cut goes
+    when the next one begins, unless its docs still read it."""
+
+    @functools.wraps(function)
+    def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for df in list(_left):
+            if not reads(docs, df):
+                _left.remove(df)
+                drop_cut(df)
+        before = set(_held[-1])
+        out = function(spark, docs, sf_dir)
+        _left.extend(df for path, df in _held[-1].items() if path not in before)
+        return out
+
+    return step
+
+
 def _drop_all() -> None:
     for held in _held:
         for df in list(held.values()):

@@ -67,6 +67,21 @@ def test_run_matches_brute_force(spark, sf):
     assert set(common._held[-1]) - before == {got._scratch}  # of all that the run cut, its result alone is left
 
 
+def test_a_step_deletes_what_the_step_before_it_cut(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    start = set(common._held[-1])
+    judged = cp.quality_rules(spark, docs, None)
+    cuts = set(common._held[-1]) - start
+    chained = cp.near_duplicates(spark, judged, None)  # not written: what it reads stays
+    assert cuts & set(common._held[-1])
+    kept = as_rows(chained)
+    judged.write.parquet(f"{tmp_path}/judged")
+    written = spark.read.parquet(f"{tmp_path}/judged")
+    first = cp.near_duplicates(spark, written, None)
+    assert not cuts & set(common._held[-1])
+    assert as_rows(first) == kept and kept
+
+
 PROSE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 ODD = [(None, None, None, None, None), (1, PROSE, "en", "a", 80), (1, PROSE, "en", "a", 80), (None, PROSE, None, None, None), (2, "", "en", None, 0), (3, PROSE.replace(" ", "\n") + " more", "de", "b", 5), (4, "w " * 30_000, "en", "a", 9)]
 
