@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lexispark.llm.common import Named, pieces, table
 
-#: Characters of words and runs whose encodings a worker keeps (a short one counts as KEPT_LEAST), and pairs whose test it
+#: Characters of words, and as many of runs, whose encodings a worker keeps (a short one counts as KEPT_LEAST), and pairs whose test it
 #: keeps; it starts afresh beyond that.
 MOST_KEPT, KEPT_LEAST, MOST_PAIRS = 12_000_000, 40, 1_000_000
 #: Characters of a word up to which states are found when asked for.
@@ -76,7 +76,7 @@ class WordBpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}  # pieces
         self.runs: dict[str, bytes] = {}  # between white spaces
-        self.kept = 0
+        self.kept = [0, 0]  # characters in each of the two
 
     def symbols_of(self, token: int) -> list[int]:
         name = self.names[token]
@@ -171,10 +171,10 @@ class WordBpe:
         No piece of a plain text crosses white space, so each distinct run between white spaces is split and
         encoded once; other texts are split as a whole.
         """
-        if self.kept > MOST_KEPT:
-            self.known.clear()
-            self.runs.clear()
-            self.kept = 0
+        for k, kept in enumerate((self.known, self.runs)):
+            if self.kept[k] > MOST_KEPT:
+                kept.clear()
+                self.kept[k] = 0
         runs, known = self.runs, self.known
         plain = [None if self.odd.search(t) else t.split() for t in texts]
         fresh = {r: self.split(r) for p in plain if p is not None for r in set(p).difference(runs)}
@@ -182,7 +182,8 @@ class WordBpe:
         for name, i in self.specials.items():
             known[name] = np.array([i], "<u4").tobytes()
         missing = {w for pieces_ in (*fresh.values(), *whole) for w in pieces_ if w not in known}
-        self.kept += sum(max(KEPT_LEAST, len(w)) for kept in (fresh, missing) for w in kept)
+        for k, new in enumerate((missing, fresh)):
+            self.kept[k] += sum(max(KEPT_LEAST, len(w)) for w in new)
         for w, tokens in self.encode_words(missing).items():
             known[w] = struct.pack(f"<{len(tokens)}I", *tokens)
         for r, pieces_ in fresh.items():
