@@ -14,15 +14,16 @@ import functools
 import json
 import struct
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.llm.common import Named, pieces, table
+from lexispark.llm.common import Named, give_back, pieces, table
 
-#: Characters of words, and as many of runs, whose encodings a worker keeps (a short one counts as KEPT_LEAST), and pairs whose test it
+#: Characters of words, and as many of runs, whose encodings a worker keeps during a task (a short one counts as KEPT_LEAST), and pairs whose test it
 #: keeps; it starts afresh beyond that.
 MOST_KEPT, KEPT_LEAST, MOST_PAIRS = 12_000_000, 40, 1_000_000
 #: Characters of a word up to which states are found when asked for.
@@ -77,6 +78,7 @@ class WordBpe:
         self.known: dict[str, bytes] = {}  # pieces
         self.runs: dict[str, bytes] = {}  # between white spaces
         self.kept = [0, 0]  # characters in each of the two
+        self.packed = np.empty((0, 3), np.int32)  # pairs, between tasks
 
     def symbols_of(self, token: int) -> list[int]:
         name = self.names[token]
@@ -190,6 +192,19 @@ class WordBpe:
             runs[r] = known[pieces_[0]] if len(pieces_) == 1 else b"".join([known[w] for w in pieces_])
         return [b"".join(map(known.__getitem__, w) if p is None else map(runs.__getitem__, p)) for p, w in zip(plain, whole, strict=True)]
 
+    def forget(self) -> None:
+        """Drops the words and runs that are kept, and packs the pairs: a worker stays, with what it holds, while other
+        operators' tasks run."""
+        flat = np.fromiter(chain.from_iterable((a, b, apart) for (a, b), apart in self.pairs.items()), np.int32, 3 * len(self.pairs))
+        self.packed = np.concatenate((self.packed, flat.reshape(-1, 3)))[-MOST_PAIRS:]
+        self.known, self.runs, self.kept, self.pairs = {}, {}, [0, 0], {}
+        give_back()
+
+    def recall(self) -> None:
+        """Unpacks the pairs."""
+        self.pairs.update({(a, b): bool(apart) for a, b, apart in self.packed.tolist()})
+        self.packed = self.packed[:0]
+
     def decode(self, ids: bytes) -> str:
         """The tokens' names, joined by one space: what a file without a decoder asks for."""
         names = self.names
@@ -219,11 +234,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, kee
 
     def run(batches):
         model = model_at(path)
-        for batch in batches:
-            for first, part in pieces(batch, len(inside), 2_000_000):
-                ids = model.encode_batch([(x or b"").decode("utf-8", "replace") for x in part])
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), counts, pa.array(ids, pa.binary())], names=[*inside, "n_tokens", "ids"])
+        model.recall()
+        try:
+            for batch in batches:
+                for first, part in pieces(batch, len(inside), 2_000_000):
+                    ids = model.encode_batch([(x or b"").decode("utf-8", "replace") for x in part])
+                    counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), counts, pa.array(ids, pa.binary())], names=[*inside, "n_tokens", "ids"])
+        finally:
+            model.forget()
 
     rows = own.df.select(*inside, F.col(own.at(text_col)).cast("binary").alias("t"))
     return own.back(rows.mapInArrow(run, own.schema(("n_tokens", T.LongType()), ("ids", T.BinaryType()))), "n_tokens", "ids")

@@ -200,6 +200,18 @@ def spread_join(rows: DataFrame, known: DataFrame, key: str, size: str, total: i
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def give_back() -> None:
+    """Hands a worker's free memory back to the machine, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch, column: int, most_bytes: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, values) of a record batch's binary column, in pieces of about most_bytes
     so that what a worker derives from them stays small; a longer value stands alone."""
