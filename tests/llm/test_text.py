@@ -193,6 +193,18 @@ def test_bpe_trie_matches_plain_merging():
         assert tokens == model.merged([*(model.ids[c] for c in word[:-1]), model.ids[word[-1] + bpe.END]])
 
 
+def test_bpe_pairs_outlive_a_task():
+    """What a task's end packs, the next one finds again, and the same tokens come out."""
+    model, r = bpe.model_at(None), random.Random(9)
+    texts = ["".join(r.choices("aehinorst ", k=200)) for _ in range(50)]
+    before, pairs = model.encode_batch(texts), dict(model.pairs)
+    model.forget()
+    assert not model.pairs and not model.known and not model.runs and len(model.packed) == len(pairs) > 0
+    model.forget()  # as of a task without texts
+    model.recall()
+    assert model.pairs == pairs and not len(model.packed) and model.encode_batch(texts) == before
+
+
 def test_bpe_frames(spark, library):
     rows = [(1, "Hello WORLD\u00e9", "en", "a"), (None, None, None, None), (2, "", "x", "b"), (2, "", "x", "b"), (3, "a b " * 20_000, None, "c")]
     frame = docs(spark, rows).withColumnRenamed("taken", "ids")
