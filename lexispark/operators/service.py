@@ -156,6 +156,8 @@ class Service:
                 connection.send(answer)
         except (EOFError, OSError):  # the task has gone
             pass
+        except Exception:  # noqa: BLE001  a request that can't be answered ends its own connection only
+            pass
         finally:
             connection.close()
 

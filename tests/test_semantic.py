@@ -333,6 +333,28 @@ def test_media(tmp_path, server):
         media.content(str(tmp_path / "empty"))
 
 
+def test_media_in_stores(tmp_path, monkeypatch):
+    """Addresses of stores go through their file systems; URLs, paths and base64 text do not."""
+    from pyarrow import fs
+
+    (tmp_path / "a.png").write_bytes(b"hello")
+    (tmp_path / "none").write_bytes(b"")
+    asked = []
+
+    class Stores:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.rsplit("/", 1)[-1]
+
+    monkeypatch.setattr(fs, "FileSystem", Stores)
+    assert media.content("s3://bucket/a.png") == b"hello" and media.as_base64("hdfs://host/a.png") == "aGVsbG8="
+    assert media.content(f"file://{tmp_path}/a.png") == b"hello" and asked == ["s3://bucket/a.png", "hdfs://host/a.png"]
+    assert [media.is_stored(x) for x in ("abfs://c/x", "HTTP://h/x", "/tmp/a", "aGVsbG8=", "://x")] == [True, False, False, False, False]
+    with pytest.raises(ValueError):
+        media.content("s3://bucket/none")
+
+
 # the package as a whole
 
 
