@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import string
 import struct
 from collections.abc import Iterable
 from itertools import chain
@@ -24,12 +25,13 @@ from pyspark.sql import types as T
 from lexispark.llm.common import Named, give_back, pieces, table
 
 #: Characters of words, and as many of runs, whose encodings a worker keeps during a task (a short one counts as KEPT_LEAST), and pairs whose test it
-#: keeps; it starts afresh beyond that.
+#: keeps. Words and runs that were not met again go in two steps, so that common ones stay; pairs start afresh beyond that.
 MOST_KEPT, KEPT_LEAST, MOST_PAIRS = 12_000_000, 40, 1_000_000
 #: Characters of a word up to which states are found when asked for.
 DEEP = 100
-#: Characters by which the lengths of tokens are looked up, and those of the tokens that have no more.
-TAIL, SHORT = 3, (2, 1)
+#: Characters by which the lengths of tokens are looked up, first of those that have LONG_TAIL at least, and the lengths
+#: of the tokens that have less than TAIL.
+LONG_TAIL, TAIL, SHORT = 6, 3, (2, 1)
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 #: Texts of these characters alone are their own canonical composition and lower-case character by
@@ -63,11 +65,19 @@ class WordBpe:
         for name, i in (*self.ids.items(), *self.specials.items()):
             self.names[i] = name
         lengths: dict[str, dict[str, set[int]]] = {"": {}, END: {}}
+        longer: dict[str, dict[str, set[int]]] = {"": {}, END: {}}
         for name in self.ids:
             body, end = (name[: -len(END)], END) if name.endswith(END) and len(name) > len(END) else (name, "")
-            lengths[end].setdefault(body[-TAIL:], set()).add(len(body))
+            if len(body) < LONG_TAIL:
+                lengths[end].setdefault(body[-TAIL:], set()).add(len(body))
+            else:
+                longer[end].setdefault(body[-LONG_TAIL:], set()).add(len(body))
         #: By word end or not, and by the last TAIL characters: the lengths of the tokens that may end a prefix, the longest first.
         self.lengths = {end: {tail: tuple(sorted({*found, *SHORT}, reverse=True)) for tail, found in own.items()} for end, own in lengths.items()}
+        #: The same by the last LONG_TAIL characters, of the tokens that have so many.
+        self.longer = {end: {tail: tuple(sorted(found, reverse=True)) for tail, found in own.items()} for end, own in longer.items()}
+        #: Characters of each token.
+        self.sizes = [len(name) - len(END) if name.endswith(END) and len(name) > len(END) else len(name) for name in self.names]
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -78,6 +88,7 @@ class WordBpe:
         self.known: dict[str, bytes] = {}  # pieces
         self.runs: dict[str, bytes] = {}  # between white spaces
         self.kept = [0, 0]  # characters in each of the two
+        self.older: list[dict[str, bytes]] = [{}, {}]  # what the two held before; what is met again goes back to them
         self.packed = np.empty((0, 3), np.int32)  # pairs, between tasks
 
     def symbols_of(self, token: int) -> list[int]:
@@ -90,12 +101,19 @@ class WordBpe:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Plain merging, by rank and from the left: the definition, for short sequences."""
-        out = list(symbols)
-        while len(out) > 1:
-            rank, i = min((self.merges.get((out[i], out[i + 1]), (1 << 30, 0))[0], i) for i in range(len(out) - 1))
-            if rank == 1 << 30:
+        out, merges, none = list(symbols), self.merges, (1 << 30, 0)
+        found = [merges.get(pair, none) for pair in zip(out, out[1:])]
+        while found:
+            least = min(found)
+            if least is none:
                 break
-            out[i : i + 2] = [self.merges[out[i], out[i + 1]][1]]
+            i = found.index(least)
+            out[i : i + 2] = [least[1]]
+            del found[i]
+            if i:
+                found[i - 1] = merges.get((out[i - 1], out[i]), none)
+            if i < len(found):
+                found[i] = merges.get((out[i], out[i + 1]), none)
         return out
 
     def apart(self, a: int, b: int) -> bool:
@@ -111,15 +129,21 @@ class WordBpe:
     def last_token(self, word: str, n: int, lasts: list[int | None], end: str = "") -> int:
         """The last token of the first n characters of word. lasts[k] is that of its first k characters, None
         until it is asked for: then it is found here and kept for all words that share these characters."""
-        ids = self.ids
-        for length in self.lengths[end].get(word[max(0, n - TAIL) : n], SHORT):
+        ids, pairs = self.ids, self.pairs
+        lengths = self.lengths[end].get(word[n - TAIL if n > TAIL else 0 : n], SHORT)
+        if n >= LONG_TAIL:
+            longer = self.longer[end].get(word[n - LONG_TAIL : n])
+            if longer is not None:
+                lengths = longer + lengths
+        for length in lengths:
             if length <= n:
                 token = ids.get(word[n - length : n] + end)
                 if token is not None:
                     before = lasts[n - length]
                     if before is None:
                         before = lasts[n - length] = self.last_token(word, n - length, lasts)
-                    if self.apart(before, token):
+                    found = pairs.get((before, token))
+                    if found or found is None and self.apart(before, token):
                         return token
         raise ValueError(f"no token ends {word[:n]!r}")
 
@@ -131,7 +155,7 @@ class WordBpe:
         from one word to the next, the states of the nodes above that one stay, and those below are dropped.
         """
         out: dict[str, list[int]] = {}
-        names, end = self.names, len(END)
+        sizes = self.sizes
         path, lasts = "", [-1]  # lasts[k]: the state of the node that is k characters down the path
         for word in sorted(words):
             shared, n = 0, len(word)
@@ -144,13 +168,13 @@ class WordBpe:
                 if lasts[k] is None:
                     lasts[k] = self.last_token(word, k, lasts)
             token = self.last_token(word, n, lasts, END)
-            tokens, at = [token], n - len(names[token]) + end
+            tokens, at = [token], n - sizes[token]
             while at:
                 token = lasts[at]
                 if token is None:
                     token = lasts[at] = self.last_token(word, at, lasts)
                 tokens.append(token)
-                at -= len(names[token])
+                at -= sizes[token]
             out[word] = tokens[::-1]
         return out
 
@@ -167,25 +191,52 @@ class WordBpe:
             return [w if w.isascii() else "".join([s[b] for b in w.encode()]) for w in self.words.findall(text.lower())]
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
+    def split_run(self, run: str) -> list[str]:
+        """split() of a run of a plain text: letters, and ASCII punctuation at their end, need no pattern."""
+        low = run.lower()
+        if low.isalpha():
+            out = [low]
+        elif "<|" in run:
+            return self.split(run)
+        else:
+            body = low.rstrip(string.punctuation)
+            out = [body, low[len(body) :]] if body.isalpha() else self.words.findall(low)
+        if low.isascii():
+            return out
+        s = self.symbols
+        return [w if w.isascii() else "".join([s[b] for b in w.encode()]) for w in out]
+
+    def _unknown(self, k: int, met: set[str]) -> set[str]:
+        """Those of the words (k 0) or runs (k 1) met that neither the kept ones nor those kept before have; the latter are kept again."""
+        kept, older = (self.known, self.runs)[k], self.older[k]
+        out = met.difference(kept)
+        back = {x: older[x] for x in out if x in older}
+        kept.update(back)
+        self._count(k, back)
+        return out.difference(back)
+
+    def _count(self, k: int, new: Iterable[str]) -> None:
+        self.kept[k] += sum([n if n > KEPT_LEAST else KEPT_LEAST for n in map(len, new)])
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's token ids as little-endian unsigned 32-bit integers.
 
         No piece of a plain text crosses white space, so each distinct run between white spaces is split and
         encoded once; other texts are split as a whole.
         """
-        for k, kept in enumerate((self.known, self.runs)):
-            if self.kept[k] > MOST_KEPT:
-                kept.clear()
-                self.kept[k] = 0
+        if self.kept[0] > MOST_KEPT // 2:
+            self.older[0], self.known, self.kept[0] = self.known, {}, 0
+        if self.kept[1] > MOST_KEPT // 2:
+            self.older[1], self.runs, self.kept[1] = self.runs, {}, 0
         runs, known = self.runs, self.known
         plain = [None if self.odd.search(t) else t.split() for t in texts]
-        fresh = {r: self.split(r) for p in plain if p is not None for r in set(p).difference(runs)}
+        fresh = {r: self.split_run(r) for r in self._unknown(1, set().union(*[p for p in plain if p is not None]))}
         whole = [self.split(t) if p is None else () for t, p in zip(texts, plain, strict=True)]
         for name, i in self.specials.items():
             known[name] = np.array([i], "<u4").tobytes()
-        missing = {w for pieces_ in (*fresh.values(), *whole) for w in pieces_ if w not in known}
-        for k, new in enumerate((missing, fresh)):
-            self.kept[k] += sum(max(KEPT_LEAST, len(w)) for w in new)
+        missing = self._unknown(0, set(chain.from_iterable((*fresh.values(), *whole))))
+        self._count(0, missing)
+        self._count(1, fresh)
         for w, tokens in self.encode_words(missing).items():
             known[w] = struct.pack(f"<{len(tokens)}I", *tokens)
         for r, pieces_ in fresh.items():
@@ -197,7 +248,7 @@ class WordBpe:
         operators' tasks run."""
         flat = np.fromiter(chain.from_iterable((a, b, apart) for (a, b), apart in self.pairs.items()), np.int32, 3 * len(self.pairs))
         self.packed = np.concatenate((self.packed, flat.reshape(-1, 3)))[-MOST_PAIRS:]
-        self.known, self.runs, self.kept, self.pairs = {}, {}, [0, 0], {}
+        self.known, self.runs, self.kept, self.older, self.pairs = {}, {}, [0, 0], [{}, {}], {}
         give_back()
 
     def recall(self) -> None:

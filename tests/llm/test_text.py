@@ -205,6 +205,34 @@ def test_bpe_pairs_outlive_a_task():
     assert model.pairs == pairs and not len(model.packed) and model.encode_batch(texts) == before
 
 
+def test_bpe_work_is_done_once(monkeypatch, library):
+    """A run is split once for all texts of a batch, and words that come again outlive what the bound makes room for."""
+    import public_tokenizers
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.asked = pattern, []
+
+        def findall(self, text):
+            self.asked.append(text)
+            return self.pattern.findall(text)
+
+    model, r = bpe.WordBpe(public_tokenizers.path(bpe.VOCABULARY)), random.Random(12)
+    model.words = Counted(model.words)
+    texts = ["x1y again, it's \u00e9t\u00e9s!! <| a<|"] * 5
+    ref = library.encode(texts[0], add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode_batch(texts)] == [ref] * 5
+    assert model.words.asked.count("x1y") == 1
+    monkeypatch.setattr(bpe, "MOST_KEPT", 75 * bpe.KEPT_LEAST)
+    encoded = []
+    plain = model.encode_words
+    monkeypatch.setattr(model, "encode_words", lambda words: encoded.extend(words) or plain(words))
+    for _ in range(12):
+        batch = ["common " + " ".join("".join(r.choices("aehinorst", k=12)) for _ in range(40))]
+        assert np.frombuffer(model.encode_batch(batch)[0], "<u4").tolist() == library.encode(batch[0], add_special_tokens=False).ids
+    assert encoded.count("common") == 1 and len(model.known) + len(model.older[0]) <= 75 + 2 * 41
+
+
 def test_bpe_frames(spark, library):
     rows = [(1, "Hello WORLD\u00e9", "en", "a"), (None, None, None, None), (2, "", "x", "b"), (2, "", "x", "b"), (3, "a b " * 20_000, None, "c")]
     frame = docs(spark, rows).withColumnRenamed("taken", "ids")
