@@ -13,8 +13,8 @@ averaged by their numbers of tokens, row by row of the parameters, and starts th
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
+from collections.abc import Collection
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,8 @@ CLASS_OF = np.repeat(np.arange(len(FIRST)), np.diff(FIRST, prepend=0))  # of an
 PLACES = (-2, -1, 1, 2)
 #: Rounds that share all documents among them, targets a step, its size, and targets that are scored at a time.
 ROUNDS, BATCH, RATE, BLOCK = 2, 1 << 14, 0.1, 1 << 16
+#: Rows of targets whose classes are scored at a time, so that their logits stay in a core's cache.
+STRIP = 1 << 12
 #: Logits within these bounds are raised as they are.
 FAR = 40
 #: Words whose counts every worker holds; the counts of all others are joined, to the same scores.
@@ -43,7 +45,7 @@ EXTRA = 0.5
 #: Sums of logarithms, and of what copies of the network learned, are of whole multiples of 1 / FINE, so that their order does not tell.
 FINE = 1 << 30
 LEARNED_FINE = 1 << 16
-#: Words that a worker counts before it hands counts on, and words besides the common ones whose id it keeps.
+#: Words that a worker counts before it hands counts on.
 MOST_WORDS = 300_000
 
 
@@ -56,64 +58,69 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        counts: Counter = Counter()
+        held: list = []  # tables of different words each
         for batch in batches:
             for _, part in pieces(batch, 0):
-                for text in part:
-                    counts.update(words_of(text))
-                if len(counts) > MOST_WORDS:
-                    yield out(counts)
-                    counts.clear()
-        if counts:
-            yield out(counts)
-
-    def out(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                found = pa.array(list(chain.from_iterable(map(words_of, part))), pa.binary()).value_counts()
+                held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "n"]))
+                if sum(x.num_rows for x in held) > 2 * MOST_WORDS:
+                    held = [summed(held)]
+                    if held[0].num_rows > MOST_WORDS:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     rows = docs.select(F.col(text_col).cast("binary").alias("t")).where("t is not null").mapInArrow(run, "word binary, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Known(dict):
-    """Words to places in the list ids; a word met for the first time gets a place and its shared id."""
+def _hashes(words: Collection[bytes], seed: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
-    def __init__(self, words: list[bytes], ids: np.ndarray):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.ids, self.fresh = ids.astype(np.int64), []
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+def _different(words) -> tuple[list[bytes], np.ndarray]:
+    """(the different ones of a list or an Arrow array of words, the place there of each word), so that each is looked up once."""
+    import pyarrow as pa
 
-        self[word] = place = len(self.ids) + len(self.fresh)
-        self.fresh.append(1 + OWN + xxh64_intdigest(word, 0) % HASHED)
-        return place
+    told = (pa.array(words, pa.binary()) if isinstance(words, list) else words).dictionary_encode()
+    return told.dictionary.to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy()
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """The words' places in ids."""
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            self.ids, self.fresh = np.concatenate((self.ids, self.fresh)), []
-        return out
+
+def _places(at: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words' values in at, -1 where it has none; the places of the latter)."""
+    out = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
+    return out, np.flatnonzero(out < 0)
+
+
+def _shared_ids(words: list[bytes]) -> np.ndarray:
+    return 1 + OWN + (_hashes(words, 0) % np.uint64(HASHED)).astype(np.int64)
 
 
 class Tokens:
     """Words to ids: own ones by place in the list, from 1 on, others by their hash."""
 
     def __init__(self, commonest: list[bytes]):
-        self.own, self.known = list(commonest), None
+        self.own, self.at = list(commonest), None
 
     def __getstate__(self):
         return self.own
 
     def __setstate__(self, own):
-        self.own, self.known = own, None
+        self.own, self.at = own, None
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if known is None or len(known) > len(self.own) + MOST_WORDS:
-            known = self.known = _Known(self.own, np.arange(1, 1 + len(self.own)))
-        places = known.places(words)
-        return known.ids[places]
+    def ids(self, words) -> np.ndarray:
+        """Of a list or an Arrow array of words."""
+        if self.at is None:
+            self.at = dict(zip(self.own, range(1, 1 + len(self.own)), strict=True))
+        each, told = _different(words)
+        out, other = _places(self.at, each)
+        out[other] = _shared_ids([each[k] for k in other.tolist()])
+        return out[told]
 
 
 def examples(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +132,21 @@ def examples(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat, np.stack([wide[at + p] for p in PLACES])
 
 
-def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(z's exponentials, in its place, but for a factor a row; the rows' sums; the logs of the true sums)."""
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(z's exponentials, in its place, but for a factor a row; the rows' sums; the logs of these factors, None if all are 1)."""
     shift = None
     if z.size and (z.max() > FAR or z.min() < -FAR):
         shift = z.max(1)
         z -= shift[:, None]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], np.float32)
+    return z, z @ np.ones(z.shape[1], np.float32), shift
+
+
+def _logs(z: np.ndarray) -> np.ndarray:
+    """Of the sums of the rows' exponentials."""
+    _, total, shift = _exponentials(z)
     logs = np.log(total.astype(np.float64))
-    return z, total, logs if shift is None else logs + shift
+    return logs if shift is None else logs + shift
 
 
 class Network:
@@ -189,48 +201,59 @@ class Network:
             order, classes, runs = self._by_class(targets[i : i + BLOCK])
             order += i
             t, h = targets[order], self.hidden(near[:, order])
-            z = h @ tops.T
-            z += top_bias
-            own = z[np.arange(len(t)), classes].astype(np.float64)
-            own -= _exponentials(z)[2]
+            own = np.empty(len(t))
+            for a in range(0, len(t), STRIP):
+                z = h[a : a + STRIP] @ tops.T
+                z += top_bias
+                own[a : a + STRIP] = z[np.arange(len(z)), classes[a : a + STRIP]]
+                own[a : a + STRIP] -= _logs(z)
             for c, a, b in runs:
                 z = h[a:b] @ rows[FIRST[c] : FIRST[c + 1]].T
                 z += bias[FIRST[c] : FIRST[c + 1]]
                 own[a:b] += z[np.arange(b - a), t[a:b] - FIRST[c]].astype(np.float64)
-                own[a:b] -= _exponentials(z)[2]
+                own[a:b] -= _logs(z)
             out[order] = own
         return out
 
+    @staticmethod
+    def _softmax(h: np.ndarray, rows: np.ndarray, bias: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the summed negative log-probability of the right rows: of h, of the rows and of the bias. The
+        exponentials are not scaled to probabilities: what they are multiplied with is."""
+        z = h @ rows.T
+        z += bias
+        z, total, _ = _exponentials(z)
+        z[np.arange(len(h)), right] -= total
+        scale = 1 / total
+        back = z @ rows
+        back *= scale[:, None]
+        return back, z.T @ (h * scale[:, None]), scale @ z
+
     def gradients(self, targets: np.ndarray, near: np.ndarray):
         """Of the summed negative log-probability: yields (part, rows of it, gradient of these rows)."""
         _, tops, rows, top_bias, bias = self.parts
         order, classes, runs = self._by_class(targets)
         targets, near = targets[order], near[:, order]
         h = self.hidden(near)
-        p = h @ tops.T
-        p += top_bias
-        p, total, _ = _exponentials(p)
-        p *= (1 / total)[:, None]
-        p[np.arange(len(targets)), classes] -= 1
-        back = p @ tops
-        yield 1, slice(None), p.T @ h
-        yield 3, slice(None), np.ones(len(p), np.float32) @ p
+        back, of_tops, of_bias = np.empty_like(h), np.zeros_like(tops), np.zeros_like(top_bias)
+        for a in range(0, len(h), STRIP):
+            at = slice(a, a + STRIP)
+            back[at], step, more = self._softmax(h[at], tops, top_bias, classes[at])
+            of_tops += step
+            of_bias += more
+        yield 1, slice(None), of_tops
+        yield 3, slice(None), of_bias
         for c, a, b in runs:
             own = slice(FIRST[c], FIRST[c + 1])
-            q = h[a:b] @ rows[own].T
-            q += bias[own]
-            q, total, _ = _exponentials(q)
-            q *= (1 / total)[:, None]
-            q[np.arange(b - a), targets[a:b] - FIRST[c]] -= 1
-            back[a:b] += q @ rows[own]
-            yield 2, own, q.T @ h[a:b]
-            yield 4, own, np.ones(b - a, np.float32) @ q
+            more, of_rows, of_own = self._softmax(h[a:b], rows[own], bias[own], targets[a:b] - FIRST[c])
+            back[a:b] += more
+            yield 2, own, of_rows
+            yield 4, own, of_own
         h *= h
         back *= np.subtract(1, h, out=h)
-        columns = np.ascontiguousarray(back.T)
+        weights, columns = back.ravel(), np.arange(WIDTH)
         for k in range(len(PLACES)):
-            own = near[k]
-            yield 0, k, np.stack([np.bincount(own, c, IDS) for c in columns], 1).astype(np.float32)
+            own = near[k][:, None] * WIDTH + columns
+            yield 0, k, np.bincount(own.ravel(), weights, IDS * WIDTH).reshape(IDS, WIDTH).astype(np.float32)
 
     def train(self, targets: np.ndarray, near: np.ndarray, past: list[np.ndarray]) -> None:
         """One pass of gradient descent with steps scaled by past gradients, whose squares past sums."""
@@ -252,7 +275,7 @@ def id_counts(counts: DataFrame, tokens: Tokens) -> tuple[np.ndarray, np.ndarray
 
     def run(batches):
         for batch in batches:
-            ids = tokens.ids(batch.column(0).to_pylist())
+            ids = tokens.ids(batch.column(0))
             n, kinds = np.bincount(ids, batch.column(1).to_numpy(), IDS).astype(np.int64), np.bincount(ids, minlength=IDS)
             some = np.flatnonzero(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(kinds[some])], names=["id", "n", "kinds"])
@@ -340,11 +363,11 @@ class _Shared:
     def __init__(self, tokens: Tokens, flat: np.ndarray, inner: tuple | None):
         self.flat, self.counted, self.own = flat, inner is not None, None
         self.words, self.logs, self.totals = inner or (tokens.own, np.zeros(len(tokens.own)), np.zeros(IDS))
-        self.ids = tokens.ids(self.words)
+        self.ids, self.logs = np.append(tokens.ids(self.words), 0), np.append(self.logs, 0.0)  # the last: of a word not held
 
-    def known(self) -> _Known:
-        if self.own is None or len(self.own) > len(self.words) + MOST_WORDS:
-            self.own = _Known(self.words, self.ids)
+    def known(self) -> dict[bytes, int]:
+        if self.own is None:
+            self.own = dict(zip(self.words, range(len(self.words)), strict=True))
         return self.own
 
 
@@ -366,8 +389,6 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
     names = [*inside, "n_tokens", "log_likelihood", "rest"]
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         held = shared.value
         model, inner, logs, totals = Network(held.flat), held.counted, held.logs, held.totals
         for batch in batches:
@@ -376,21 +397,25 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
                 told = [words_of(t) for t in part]
                 lengths = np.fromiter(map(len, told), np.int64, len(told))
                 flat_words = list(chain.from_iterable(told))
-                places = known.places(flat_words)
-                targets, near = examples(known.ids[places], lengths)
-                sums, rest = np.zeros(len(part)), [None] * len(part)
+                each, at = _different(flat_words)
+                places, other = _places(known, each)
+                rare = [each[k] for k in other.tolist()]
+                ids = held.ids[places]
+                ids[other] = _shared_ids(rare)
+                targets, near = examples(ids[at], lengths)
+                sums, rest = np.zeros(len(part)), pa.nulls(len(part), pa.list_(pa.int64()))
                 if len(targets):
                     some, starts = lengths > 0, np.cumsum(lengths) - lengths
-                    each = model.log_probabilities(targets, near)
+                    found = model.log_probabilities(targets, near)
                     if inner:
-                        each += np.append(logs, np.zeros(len(known.ids) - len(logs)))[places] - totals[targets]
-                        other = np.flatnonzero(places >= len(logs))
-                        hashes = [_signed(xxh64_intdigest(flat_words[k], 42)) for k in other.tolist()]
-                        ends = np.searchsorted(other, np.cumsum(lengths))
-                        for i in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-                            rest[i] = hashes[ends[i - 1] if i else 0 : ends[i]]
-                    sums[some] = np.add.reduceat(each, starts[some])
-                columns = [*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), pa.array(lengths), pa.array(sums), pa.array(rest, pa.list_(pa.int64()))]
+                        hashes = np.zeros(len(each), np.int64)
+                        hashes[other] = _hashes(rare, 42).view(np.int64)
+                        found += logs[places][at] - totals[targets]
+                        open_ = np.flatnonzero((places < 0)[at])
+                        ends = np.searchsorted(open_, np.cumsum(lengths))
+                        rest = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(hashes[at[open_]]), mask=pa.array(np.diff(ends, prepend=0) == 0))
+                    sums[some] = np.add.reduceat(found, starts[some])
+                columns = [*(batch.column(k).slice(first, len(part)) for k in range(len(inside))), pa.array(lengths), pa.array(sums), rest]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = own.schema(("n_tokens", T.LongType()), ("log_likelihood", T.DoubleType()), ("rest", T.ArrayType(T.LongType())))
@@ -402,10 +427,6 @@ def score(docs: DataFrame, tokens: Tokens, network: Network, text_col: str = "te
     return own.back(out, *added)
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _with_rest(scored: DataFrame, counts: DataFrame) -> DataFrame:
     """scored, with log(n + EXTRA) of the words whose hashes are in rest added to log_likelihood; a word without a count
     has n = 0."""

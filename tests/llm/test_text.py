@@ -451,6 +451,27 @@ def test_scores(spark, sf):
     assert scoring.score(frame.where("false"), *nothing).count() == 0 and scoring.score(frame, *nothing).where("log_likelihood > 0").count() == 0
 
 
+def test_different_words_are_looked_up_once(spark, monkeypatch):
+    """Words that repeat cost one look and one hash, and a worker keeps none but those it is given."""
+    import pyarrow as pa
+    import xxhash
+
+    hashed, plain = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda word, seed=0: hashed.append(word) or plain(word, seed))
+    tokens = scoring.Tokens([b"the", b"of"])
+    words = [b"the", b"rare\xff", b"of", b"rare\xff", b"other"] * 1000
+    want = [1, *(1 + scoring.OWN + plain(w, 0) % scoring.HASHED for w in (b"rare\xff", b"other"))]
+    for given in (words, pa.array(words, pa.binary())):
+        assert tokens.ids(given).tolist() == [want[0], want[1], 2, want[1], want[2]] * 1000
+    assert sorted(hashed) == [b"other"] * 2 + [b"rare\xff"] * 2
+    assert all(len(x) == 2 for x in vars(tokens).values())
+    assert tokens.ids([]).tolist() == []
+    frame = docs(spark, [(1, "a b a", "en", "a"), (2, None, "en", "a")])
+    nothing = scoring.count_words(frame.where("false"))
+    got = {x["doc_id"]: x for x in scoring.score(frame, *scoring.fit(frame.where("false")), counts=nothing).collect()}
+    assert got[1]["n_tokens"] == 3 and -1e3 < got[1]["log_likelihood"] < 0 and got[2]["log_likelihood"] == 0
+
+
 def test_training_is_the_weighted_mean_over_partitions(spark):
     """Each partition trains a copy on all its rows of the round, copies of a text included, and the copies are averaged
     by their tokens; a single document reaches the weights."""
