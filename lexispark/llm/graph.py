@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = spread_join(both, least, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, least, "u", "n", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), state[0])
         drop_cut(now)
         now, before, state = after, state, mark(after)
         if state == before:

@@ -66,13 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     own = Named(docs, "size", "source_size", "target", "taken")
     id_, text, source = (F.col(own.at(c)) for c in (id_col, text_col, source_col))
-    octave = max(4, own.df.count() // (3 * RANGE_ROWS))  # ranges between a key and its double; three such hold most keys
+    total = own.df.count()
+    octave = max(4, total // (3 * RANGE_ROWS))  # ranges between a key and its double; three such hold most keys
     rows = own.df.withColumns({"sk": F.coalesce(F.concat(F.lit("="), source), F.lit("")), "d": drawn(id_, text)})
     rows = rows.withColumns({"size": F.col("d.size"), "key": F.col("d.key"), "range": F.coalesce(F.floor(F.log2("d.key") * octave), F.lit(0))}).drop("d")
-    ranges = cut(rows.groupBy("sk", "range").agg(F.sum("size").alias("n"), F.min(source).alias("source")))
+    ranges = cut(rows.groupBy("sk", "range").agg(F.sum("size").alias("n"), F.min(source).alias("source")), total)
     sources = targets(ranges.groupBy("sk").agg(F.min("source").alias("source"), F.sum("n").alias("source_size")))
     before = F.coalesce(F.sum("n").over(W.partitionBy("sk").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    known = cut(ranges.select("sk", "range", before.alias("base")).join(sources, "sk"))
+    known = cut(ranges.select("sk", "range", before.alias("base")).join(sources, "sk"), total)
     drop_cut(ranges)
     whole = rows.join(known, ["sk", "range"])
     inside = W.partitionBy("sk", "range").orderBy("key", id_, "size", F.xxhash64(text)).rowsBetween(W.unboundedPreceding, -1)

@@ -139,12 +139,13 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _near(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
     """(fp, id, th, rk, component, component_id) of every row."""
     fps = cut(fingerprints(docs, id_col, text_col))
+    total = fps.count()
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     parts = connected_components(fingerprint_links(classes, radius))
-    known = cut(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")))
+    known = cut(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")), total)
     roots = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
     named = spread_join(known, roots, "component", "m", known.count()).select("fp", "n", "component", "component_id")
-    return spread_join(fps, named, "fp", "n", fps.count()).drop("n")
+    return spread_join(fps, named, "fp", "n", total).drop("n")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import corpus_pipeline as cp
 import numpy as np
@@ -82,6 +83,17 @@ def test_a_step_deletes_what_the_step_before_it_cut(spark, tmp_path):
     assert as_rows(first) == kept and kept
 
 
+def test_a_cut_starts_few_processes(spark):
+    """Each file and each folder of a task is a process (chmod) on a local file system: none for checksums or marks, and
+    few where a table is known to be small."""
+    rows = spark.range(1000).repartition(50)
+    out = cut(rows, 1000)
+    assert sorted(x["id"] for x in out.collect()) == list(range(1000))
+    names = os.listdir(out._scratch.removeprefix("file:"))
+    assert len(names) == len(out.inputFiles()) <= spark.sparkContext.defaultParallelism and all(n.endswith(".parquet") for n in names)
+    assert len(cut(rows).inputFiles()) == 50
+
+
 PROSE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 ODD = [(None, None, None, None, None), (1, PROSE, "en", "a", 80), (1, PROSE, "en", "a", 80), (None, PROSE, None, None, None), (2, "", "en", None, 0), (3, PROSE.replace(" ", "\n") + " more", "de", "b", 5), (4, "w " * 30_000, "en", "a", 9)]
 
