@@ -99,6 +99,8 @@ def scratch_root(spark: SparkSession) -> str:
 #: system, without a mark of success. The usual one adds a checksum file to each and, without its native library, starts a
 #: chmod for it too. Until such a child executes, it shares its JVM's memory and counts as a second JVM.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+#: Whether an execution's shuffle files go at its end; otherwise they stay until the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a file of a table that is known to be small, about.
 FILE_ROWS = 100_000
 
@@ -108,13 +110,19 @@ _held: list[dict[str, DataFrame]] = [{}]
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, written to a table in the shared folder and read back: what follows neither recomputes it nor depends on an
-    executor's local disk. The table goes with drop_cut(), at the end of its scope(), or with the process. rows: about how
-    many df has, where that is known; few rows are then few files, whatever the number of partitions."""
+    executor's local disk; what was shuffled for it goes at once. The table goes with drop_cut(), at the end of its scope(), or
+    with the process. rows: about how many df has, where that is known; few rows are then few files, whatever the number of
+    partitions."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.options(**PLAIN_FILES).parquet(path)
+    told = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.options(**PLAIN_FILES).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, told)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     _held[-1][path] = out

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -100,6 +101,22 @@ def test_spread_join(spark, monkeypatch, few):
     assert {r["component"] for r in graph.connected_components(chain).collect()} == {0}
 
 
+def test_what_a_cut_shuffled_goes_at_once(spark):
+    """Not only when the driver collects its garbage: an operator's disk is that of one step."""
+
+    def shuffled():
+        return {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    before, told = shuffled(), spark.conf.get(common.SHUFFLES_GO)
+    rows = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    out = common.cut(rows)
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(common.SHUFFLES_GO) == told
+    assert out.collect() and sorted(out.collect()) == sorted(rows.collect())  # which can run again
+
+
 def test_simhash_edges(spark):
     empty = docs(spark, []).where("false")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
