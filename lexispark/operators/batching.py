@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from typing import Any
 
 #: Requests of one task that are in flight together.
@@ -81,17 +82,18 @@ def shrunk(size: int) -> int:
     return size
 
 
-def fold(rows: list[Any], size: int, ask: Callable[[list[Any], str | None], Any]) -> Any:
-    """Reduces rows batch by batch, each request given the summary so far."""
-    summary, at = None, 0
-    while at < len(rows):
-        batch = rows[at : at + size]
+def fold(rows: Iterable[Any], size: int, ask: Callable[[list[Any], str | None], Any]) -> Any:
+    """Reduces rows batch by batch, each request given the summary so far. Rows are taken as they are asked about: one
+    batch is held, whatever their number."""
+    rows, waiting, summary = iter(rows), [], None
+    while waiting := waiting + list(islice(rows, max(0, size - len(waiting)))):
+        batch = waiting[:size]
         try:
             summary = ask(batch, summary)
         except TokenOverflow:
             size = shrunk(min(size, len(batch)))
             continue
-        at += len(batch)
+        waiting = waiting[len(batch) :]
     return summary
 
 

@@ -225,9 +225,12 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are few and hold whole corpora, so their texts are streamed, not gathered."""
     docs = _table(spark, sf_dir, "documents")
     s = session(spark)
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), s.llm_reduce({"model_name": "digest"}, _ask("text"), "doc_id").alias("least"), s.llm_reduce({"model_name": "count"}, _ask("doc_id")).alias("counted"))
+    least = s.reduce_groups(docs, ["lang"], {"model_name": "digest"}, _ask("text"), "least", order_by="doc_id")
+    counted = s.reduce_groups(docs, ["lang"], {"model_name": "count"}, _ask("doc_id"), "counted")
+    return s.join_groups(["lang"], docs.groupBy("lang").agg(F.count("*").alias("n")), least, counted)
 
 
 def llm_reduce_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

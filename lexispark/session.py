@@ -144,8 +144,7 @@ class Session:
 
     def _aggregate(self, function: str, output: str, model: Struct, prompt: Struct, order_by: Any, **options: Any) -> Column:
         spec, columns = self._spec(function, output, model, prompt, True, **options)
-        keys = [F.col(c) if isinstance(c, str) else c for c in ([] if order_by is None else order_by if isinstance(order_by, (list, tuple)) else [order_by])]
-        return aggregates.gathered(spec, self.service.handle, aggregates.WORK[function], columns, keys)
+        return aggregates.gathered(spec, self.service.handle, aggregates.WORK[function], columns, _listed(order_by))
 
     def llm_reduce(self, model: Struct, prompt: Struct, order_by: Any = None, max_rows_per_group: int | None = None) -> Column:
         """An aggregate: one answer over all rows of a group, folded batch by batch in the given order."""
@@ -173,15 +172,23 @@ class Session:
             df = df.where(cheap)
         return df.where(self.llm_filter(model, prompt))
 
-    def reduce_groups(self, df: DataFrame, keys: list[str], model: Struct, prompt: Struct, name: str = "summary", spread: int = 1) -> DataFrame:
-        """llm_reduce by keys. spread > 1 first reduces that many parts of each group side by side and then their
-        summaries, for tasks where parts may be merged in any grouping: large groups spread over the cluster."""
+    def reduce_groups(self, df: DataFrame, keys: list[str], model: Struct, prompt: Struct, name: str = "summary", spread: int = 1, order_by: Any = None) -> DataFrame:
+        """llm_reduce by keys, for groups of any size: a group's rows pass its task in the given order and are never held
+        as a whole. spread > 1 first reduces that many parts of each group side by side and then their summaries, for
+        tasks where parts may be merged in any grouping: large groups spread over the cluster."""
         if spread == 1:
-            return df.groupBy(*keys).agg(self.llm_reduce(model, prompt).alias(name))
+            spec, columns = self._spec("reduce", "string", model, prompt, True)
+            return aggregates.streamed(df, keys, spec, self.service.handle, columns, _listed(order_by), name)
         columns = [c["data"] if isinstance(c["data"], Column) else F.col(c["data"]) for c in prompt["context_columns"]]
-        parts = df.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(spread))).groupBy(*keys, "_part").agg(self.llm_reduce(model, prompt).alias(name))
+        dealt = df.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(spread)))
+        parts = self.reduce_groups(dealt, [*keys, "_part"], model, prompt, name, order_by=order_by)
         again = {k: v for k, v in prompt.items() if k != "context_columns"} | {"context_columns": [{"data": name}]}
-        return parts.groupBy(*keys).agg(self.llm_reduce(model, again).alias(name))
+        return self.reduce_groups(parts, keys, model, again, name)
+
+    @staticmethod
+    def join_groups(keys: list[str], *frames: DataFrame) -> DataFrame:
+        """Side by side: results of reduce_groups, and of groupBy(*keys).agg(...), over the same rows."""
+        return aggregates.joined(keys, *frames)
 
     # SQL access
 
@@ -214,6 +221,10 @@ class Session:
         return self.spark.createDataFrame([(k, *v.values()) for k, v in self.metrics().items()], schema)
 
 
+def _listed(order_by: Any) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in ([] if order_by is None else order_by if isinstance(order_by, (list, tuple)) else [order_by])]
+
+
 def _fusion_sql(name: str, own: list[str]) -> str:
     """A fusion of SQL expressions, as functions/fusion.py defines it."""
     if not own:

@@ -81,6 +81,24 @@ def test_fold():
         b.fold([1, 2], 2, never)
 
 
+def test_fold_holds_one_batch():
+    taken = []
+
+    def rows():
+        for i in range(100):
+            taken.append(i)
+            yield i
+
+    def ask(batch, summary):
+        assert len(taken) - (summary or 0) <= 8 + 1  # asked about, or refused before
+        if len(batch) > 6:
+            raise b.TokenOverflow
+        assert batch == list(range(summary or 0, (summary or 0) + len(batch)))
+        return (summary or 0) + len(batch)
+
+    assert b.fold(rows(), 8, ask) == 100
+
+
 def test_tournament():
     windows = []
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators.batching import TokenOverflow, UsageExceeded
 from lexispark.operators.service import RateLimiter, UsageMeter
+from lexispark.plans.queries import QUERIES
 from lexispark.plans.spec import SpecError
 from lexispark.session import Session
 from lexispark.sources import media
@@ -195,6 +196,53 @@ def test_aggregate_edges(spark, session):
     assert spread == max(f"t{i}" for i in range(30))
 
 
+def test_groups_are_reduced_in_a_stream(spark, session):
+    frame = rows(spark, 50, 3).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    concat = model(max_batch_size=4, parameters={"rule": "concat"})
+    texts = {g: [f"t{i}" for i in range(49, -1, -1) if i % 3 == (g or 0)] for g in (None, 1, 2)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a group comes in several batches
+    try:
+        got = session.reduce_groups(frame, ["g"], concat, ask("t"), "x", order_by=-F.col("id")).collect()
+        assert {r["g"]: r["x"] for r in got} == {g: ",".join(ts) for g, ts in texts.items()} and len(got) == 3
+        assert sum(v["api_calls"] for v in session.metrics().values()) == 5 + 5 + 4
+        plain = frame.groupBy("g").agg(session.llm_reduce(concat, ask("t"), -F.col("id")).alias("x")).collect()
+        assert {(r["g"], r["x"]) for r in plain} == {(r["g"], r["x"]) for r in got}
+        unordered = session.reduce_groups(frame, ["g"], concat, ask("t"), "x").where("g = 2").first()["x"]
+        assert unordered == ",".join(sorted(texts[2]))
+        counted = session.reduce_groups(frame, [], model(parameters={"rule": "count", "overflow_above": 5}), ask("t")).collect()
+        assert [r["summary"] for r in counted] == ["50"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    none = frame.where("id < 0")
+    assert [r["summary"] for r in session.reduce_groups(none, [], concat, ask("t")).collect()] == [None]
+    assert [r["summary"] for r in session.reduce_groups(none, [], concat, ask("t"), spread=2).collect()] == [None]
+    assert session.reduce_groups(none, ["g"], concat, ask("t")).collect() == []
+
+
+def test_keys_of_streamed_groups(spark, session):
+    keys = ["day at", "many", "x"]
+    frame = spark.sql("select id, timestamp_micros(id % 2) as `day at`, array(id % 2, null) as many, if(id % 2 = 0, double('NaN'), -1.5d) as x, concat('t', id) as t from range(10)")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        n = frame.groupBy(*keys).agg(F.count("*").alias("n"))
+        one = session.reduce_groups(frame, keys, model(parameters={"rule": "concat"}), ask("t"), "one", order_by="id")
+        two = session.reduce_groups(frame, keys, model(parameters={"rule": "max"}), ask("t"), "two of them")
+        both = session.join_groups(keys, n, one, two)
+        assert both.columns == [*keys, "n", "one", "two of them"]
+        assert sorted(map(str, both.select(*keys).collect())) == sorted(map(str, n.select(*keys).collect()))
+        assert sorted(tuple(r)[3:] for r in both.collect()) == [(5, "t0,t2,t4,t6,t8", "t8"), (5, "t1,t3,t5,t7,t9", "t9")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    with pytest.raises(ValueError, match="must differ"):
+        session.join_groups(keys, n, one, one)
+
+
+def test_reduction_of_languages_gathers_none(spark, sf):
+    plan = QUERIES["llm_reduce"](spark, sf)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and plan.count("FlatMapGroupsInArrow") >= 2
+
+
 def test_plans_hold_no_secrets(spark, session):
     session.sql("CREATE SECRET (TYPE OPENAI, API_KEY 'very-secret')")
     session.sql("CREATE MODEL('o', 'g', 'openai')")
